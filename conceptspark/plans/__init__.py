@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features"]
+MODULES = ["graphs", "features", "topology"]
 
 
 def load_all() -> None:

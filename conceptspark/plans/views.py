@@ -188,16 +188,23 @@ VIEWS: dict[str, str] = {
 
 
 def compose(body: str, extra: dict[str, str] | None = None) -> str:
-    """Prepend every view the body needs, directly or through another view."""
-    views = {**VIEWS, **(extra or {})}
+    """Prepend every view the body needs, directly or through another view.
+
+    A key may carry a recursive head such as ``fx_near(a, b) USING KEY (a)``; its name is the leading word.
+    """
+    heads = {re.match(r"\w+", key).group(): (key, sql) for key, sql in {**VIEWS, **(extra or {})}.items()}
     needed: set[str] = set()
     todo = [body]
     while todo:
         for name in set(re.findall(r"\bfx_\w+", todo.pop())) - needed:
             needed.add(name)
-            todo.append(views[name])
-    order = [name for name in views if name in needed]
-    if not order:
+            todo.append(heads[name][1])
+    if not needed:
         return body
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({views[name].strip()})" for name in order)
-    return f"WITH RECURSIVE {ctes}\nSELECT * FROM ({body.strip()})"
+    ctes = []
+    for name, (head, sql) in heads.items():
+        if name in needed:
+            keep = "AS" if "(" in head else "AS MATERIALIZED"
+            ctes.append(f"{head} {keep} ({sql.strip()})")
+    joined = ",\n".join(ctes)
+    return f"WITH RECURSIVE {joined}\nSELECT * FROM ({body.strip()})"
