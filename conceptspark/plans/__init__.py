@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology"]
+MODULES = ["graphs", "features", "topology", "texts", "labels"]
 
 
 def load_all() -> None:
