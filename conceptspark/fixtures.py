@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.functions.vocabulary import ADOPTION_CODES, AMBIVALENCE_CODES, COHORT_CODES
+from conceptspark.operators.labels import encode, merge_consensus
 from conceptspark.operators.ranking import consecutive_pairs
+from conceptspark.operators.splits import repeated_splits
 
 TURNS_PER_PART = 10_000
 SEEDS = list(range(42, 52))
@@ -334,10 +337,73 @@ class Corpus:
             quotes.alias("quotes"),
         )
 
-    # label vectors
-
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(
             "vec_id", F.col("label").alias("type"), F.col("embedding").cast("array<double>").alias("vector")
         )
+
+    # encoded targets, splits and predictions
+
+    @cached_property
+    def consensus(self) -> DataFrame:
+        return merge_consensus(self.annotator_a, self.annotator_b, self.adjudications)
+
+    @cached_property
+    def target_labels(self) -> DataFrame:
+        """(target, transcript_id, label code) of the three targets."""
+        coded = lambda df, target: df.select(F.lit(target).alias("target"), "transcript_id", F.col("code").alias("label"))
+        cohorts = self.cohorts.withColumnRenamed("graph_id", "transcript_id")
+        return (
+            coded(encode(cohorts, COHORT_CODES, "split"), "cohort")
+            .unionByName(coded(encode(self.adoption, ADOPTION_CODES), "ai_adoption"))
+            .unionByName(coded(encode(self.consensus, AMBIVALENCE_CODES), "stance_ambivalence"))
+        )
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return repeated_splits(self.target_labels, SEEDS)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Deterministic answers of twelve configurations on val and test of the two three-class targets."""
+        configs = F.array(
+            *[
+                F.struct(
+                    F.lit(combo).alias("combo"),
+                    F.lit(arch).alias("architecture"),
+                    F.lit(int(round((q - off) * 1000))).alias("quality"),
+                )
+                for combo, q in QUALITY.items()
+                for arch, off in (("logistic", 0.0), ("stacked", 0.02))
+            ]
+        )
+        asked = self.splits.where(F.col("split").isin("val", "test") & (F.col("target") != "ai_adoption")).select(
+            "target", "seed", "transcript_id", "split", F.col("label").alias("y"), F.explode(configs).alias("_c")
+        ).select("*", "_c.*")
+        key = F.concat_ws("|", "target", "combo", "architecture", F.col("seed").cast("string"), F.col("transcript_id").cast("string"))
+        h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 1000
+        wrong = ((F.col("y") + 1 + h % 2) % 3).cast("int")
+        return asked.select(
+            "target", "combo", "architecture", "seed", "transcript_id", "split", "y",
+            F.when(h < F.col("quality"), F.col("y")).otherwise(wrong).alias("yhat"),
+        )
+
+    @cached_property
+    def demographics(self) -> DataFrame:
+        """Adoption and career stage; every tenth id has none."""
+        key = F.col("transcript_id")
+        career = F.element_at(F.array(F.lit("early"), F.lit("mid"), F.lit("late")), (key % 3 + 1).cast("int"))
+        return self.adoption.where(key % 10 != 0).select(
+            "transcript_id", F.col("label").alias("ai_adoption"), career.alias("career_stage")
+        )
+
+    # label vectors
+
+    @cached_property
+    def label_vectors(self) -> DataFrame:
+        """A vector for every (type, label), picked from the embeddings by label hash."""
+        labels = self.nodes.select("type", "label").distinct()
+        place = F.conv(F.substring(F.md5(F.concat_ws("|", "type", "label")), 1, 8), 16, 10).cast("long") % 256
+        vectors = self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+        return labels.withColumn("vec_id", place).join(vectors, "vec_id").select("type", "label", "vector")

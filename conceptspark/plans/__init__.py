@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology", "texts", "labels"]
+MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation"]
 
 
 def load_all() -> None:

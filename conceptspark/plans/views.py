@@ -137,6 +137,10 @@ VIEWS: dict[str, str] = {
         SELECT d.type, d.label, CAST(e.embedding AS DOUBLE[]) AS vector
         FROM (SELECT DISTINCT type, label, {h32("concat_ws('|', type, label)")} % 256 AS vec_id FROM fx_nodes) d
         JOIN embeddings e USING (vec_id)""",
+    "fx_demographics": """
+        SELECT transcript_id, label AS ai_adoption,
+            CASE transcript_id % 3 WHEN 0 THEN 'early' WHEN 1 THEN 'mid' ELSE 'late' END AS career_stage
+        FROM fx_adoption WHERE transcript_id % 10 <> 0""",
     # encoded targets
     "fx_target_labels": """
         SELECT 'cohort' AS target, graph_id AS transcript_id,
@@ -179,7 +183,7 @@ VIEWS: dict[str, str] = {
     ),
     "fx_predictions": f"""
         SELECT target, combo, architecture, seed, transcript_id, split, y,
-            CASE WHEN h < quality THEN y ELSE (y + 1 + h % 2) % 3 END AS yhat
+            CAST(CASE WHEN h < quality THEN y ELSE (y + 1 + h % 2) % 3 END AS INTEGER) AS yhat
         FROM (SELECT s.target, c.combo, c.architecture, s.seed, s.transcript_id, s.split, s.label AS y, c.quality,
                 {h32("concat_ws('|', s.target, c.combo, c.architecture, s.seed, s.transcript_id)")} % 1000 AS h
               FROM fx_splits s CROSS JOIN fx_configs c
