@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation"]
+MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports"]
 
 
 def load_all() -> None:
