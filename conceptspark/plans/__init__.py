@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports"]
+MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports", "vocabulary"]
 
 
 def load_all() -> None:
