@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports", "vocabulary"]
+MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports", "vocabulary", "storage"]
 
 
 def load_all() -> None:
