@@ -2,7 +2,9 @@
 
 import importlib
 
-MODULES = ["graphs", "features", "topology", "texts", "labels", "evaluation", "reports", "vocabulary", "storage"]
+MODULES = [
+    "graphs", "features", "topology", "texts", "labels", "evaluation", "reports", "vocabulary", "storage", "learning",
+]
 
 
 def load_all() -> None:
