@@ -28,6 +28,7 @@ from conceptspark.operators.embeddings import align_modalities
 from conceptspark.operators.evaluation import class_report, macro_f1
 from conceptspark.operators.experiments import class_weights
 from conceptspark.operators.ranking import hash_order, rank_by_hash
+from conceptspark.session import cut_lineage
 
 
 @dataclass
@@ -73,6 +74,7 @@ def _n_classes(train: DataFrame) -> int:
 
 
 COLUMNS = {"featuresCol": "_v", "labelCol": "label"}
+PARALLEL_CLASSES = 4  # one-against-rest models fitted at the same time
 
 
 def fit_logistic(train: DataFrame, balanced: bool = True, c: float = 1.0, max_iter: int = 100) -> Fitted:
@@ -96,7 +98,7 @@ def fit_gradient_boost(train: DataFrame, rounds: int = 100, depth: int = 3, step
     estimator = GBTClassifier(**COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
     rows = weighted(train, False)
     if classes > 2:
-        estimator = OneVsRest(**COLUMNS, classifier=estimator)
+        estimator = OneVsRest(**COLUMNS, classifier=estimator, parallelism=PARALLEL_CLASSES)
     return Fitted(estimator.fit(rows), classes)
 
 
@@ -105,7 +107,8 @@ def fit_svm(train: DataFrame, balanced: bool = True, max_iter: int = 100) -> Fit
     rows = weighted(train, balanced)
     total = rows.agg(F.sum("_w")).first()[0]
     base = LinearSVC(**COLUMNS, weightCol="_w", regParam=1.0 / total, maxIter=max_iter, standardization=False)
-    return Fitted(OneVsRest(**COLUMNS, weightCol="_w", classifier=base).fit(rows), _n_classes(train))
+    several = OneVsRest(**COLUMNS, weightCol="_w", classifier=base, parallelism=PARALLEL_CLASSES)
+    return Fitted(several.fit(rows), _n_classes(train))
 
 
 def random_fourier(rows: DataFrame, dim: int, out: int = 256, gamma: float = 1.0, seed: int = 42) -> DataFrame:
@@ -194,7 +197,8 @@ def run_experiment(data: dict[str, DataFrame], splits: DataFrame, config: dict,
     fit_options = (options or {}).get(config["architecture"], {})
 
     def rows(modalities):
-        return labelled.join(align_modalities(modalities), "transcript_id")
+        # training passes over its input many times: join once, then read the written rows
+        return cut_lineage(labelled.join(align_modalities(modalities), "transcript_id"))
 
     if config["architecture"] in ("late", "gated"):
         per_modality = {n: rows({n: data[n]}) for n in names}

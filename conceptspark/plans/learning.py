@@ -27,8 +27,10 @@ def labelled(c, target: str = TARGET, seeds=(42,)):
     return cut_lineage(splits.restrict_split(rows, c.graphs.select(F.col("graph_id").alias("transcript_id"))))
 
 
-def data(c):
-    return {"stats": cut_lineage(histogram(c)), "text": cut_lineage(modality(bag(c)))}
+def data(c, combo: str):
+    """Feature tables of the modalities in ``combo``."""
+    made = {"stats": histogram, "text": lambda corpus: modality(bag(corpus))}
+    return {name: cut_lineage(made[name](c)) for name in combo.split("-")}
 
 
 def config(architecture: str, combo: str, target: str = TARGET, seed: int = 42):
@@ -36,7 +38,7 @@ def config(architecture: str, combo: str, target: str = TARGET, seed: int = 42):
 
 
 def answers(c, architecture: str, combo: str, target: str = TARGET, **options):
-    return models.run_experiment(data(c), labelled(c, target), config(architecture, combo, target), {architecture: options})
+    return models.run_experiment(data(c, combo), labelled(c, target), config(architecture, combo, target), {architecture: options})
 
 
 @query("m01_logistic")
@@ -56,7 +58,7 @@ def _(c):
 
 @query("m04_svm")
 def _(c):
-    return answers(c, "svm", "stats", max_iter=30)
+    return answers(c, "svm", "stats", max_iter=10)
 
 
 @query("m05_mlp_single")
@@ -134,7 +136,7 @@ def _(c):
 @query("m12_run_experiments")
 def _(c):
     wanted = [config(a, combo) for a, combo in (("logistic", "stats"), ("logistic", "text"), ("svm", "text-stats"))]
-    predictions, errors = models.run_experiments(data(c), labelled(c), wanted, {"svm": {"max_iter": 20}})
+    predictions, errors = models.run_experiments(data(c, "text-stats"), labelled(c), wanted, {"svm": {"max_iter": 10}})
     if errors:
         raise RuntimeError(errors[0]["error"])
     return evaluation.macro_f1(predictions, ["target", "combo", "architecture", "seed", "split"])

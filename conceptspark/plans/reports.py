@@ -429,3 +429,25 @@ def _(c):
         F.map_from_entries(F.collect_list(entry)).alias("per_class")
     )
     return rounded(reports.per_class_long(maps))
+
+
+@query(
+    "flagship_cohort_quality",
+    """SELECT split, count(*) AS n_graphs, round(avg(n), 6) AS mean_nodes, round(avg(n_c / n), 6) AS mean_construct_ratio,
+        round(avg(neg / greatest(n_s, 1)), 6) AS mean_negative_stance, round(avg(bip), 6) AS mean_bipolarity,
+        sum(coalesce(v, 0))::BIGINT AS n_violations, count(*) FILTER (coalesce(v, 0) = 0) AS n_clean,
+        sum(coalesce(fixed, 0))::BIGINT AS n_fixed
+    FROM fx_graphs JOIN (SELECT graph_id, count(*) AS n, count(*) FILTER (type = 'Construct') AS n_c,
+            count(*) FILTER (type = 'Stance') AS n_s, count(*) FILTER (valence = 'negative') AS neg,
+            coalesce(avg(CASE WHEN bipolarity_complete AND label_negative IS NOT NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)
+                FILTER (type = 'Construct'), 0) AS bip FROM fx_nodes GROUP BY 1) USING (graph_id)
+    LEFT JOIN (SELECT v.graph_id, count(*) AS v FROM fx_violations v
+        LEFT JOIN fx_nodes n ON n.graph_id = v.graph_id AND n.id = v.subject AND v.rule IN ('V04', 'V05')
+        WHERE v.rule NOT IN ('V05', 'V21') AND NOT (v.rule = 'V04' AND n.label_negative IS NULL) GROUP BY 1) USING (graph_id)
+    LEFT JOIN (SELECT graph_id, count(*) AS fixed FROM fx_violations WHERE rule = 'V21' GROUP BY 1) USING (graph_id)
+    GROUP BY 1""",
+    VIOLATIONS,
+)
+def _(c):
+    """Repair directions and poles, validate, and profile each cohort."""
+    return reports.cohort_quality(c.nodes, c.edges, c.graphs)
