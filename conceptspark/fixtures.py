@@ -15,8 +15,10 @@ from conceptspark.functions.vocabulary import ADOPTION_CODES, AMBIVALENCE_CODES,
 from conceptspark.operators.labels import encode, merge_consensus
 from conceptspark.operators.ranking import consecutive_pairs
 from conceptspark.operators.splits import repeated_splits
+from conceptspark.session import scratch_path
 
 TURNS_PER_PART = 10_000
+_STORED: dict[tuple[str, str, str], str] = {}
 SEEDS = list(range(42, 52))
 QUALITY = {
     "text": 0.80,
@@ -58,13 +60,40 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread_table(self, name: str, columns: list[str]) -> DataFrame:
+        """A fact table over all cores. A scan with enough splits stays as it is; a file with one row group would
+        otherwise be read, exploded and pre-aggregated by a single task."""
+        df = self.table(name).select(*columns)
+        wanted = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *columns)
+
+    def _stored(self, name: str, build) -> DataFrame:
+        """Corpus table written once per application and folder, then read with column pruning and pushdown."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = scratch_path(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._stored("nodes", self.build_nodes)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._stored("edges", self.build_edges)
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return self._stored("splits", lambda: repeated_splits(self.target_labels, SEEDS))
+
     # graph corpus: one graph per order
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("graph_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
-        )
+        columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]
+        return self.spread_table("lineitem", columns).withColumnRenamed("l_orderkey", "graph_id")
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -80,8 +109,7 @@ class Corpus:
             F.col("o_orderkey").alias("graph_id"), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
         )
 
-    @cached_property
-    def nodes(self) -> DataFrame:
+    def build_nodes(self) -> DataFrame:
         none = F.lit(None).cast("string")
         no_list = F.lit(None).cast("array<string>")
         key = F.col("l_partkey")
@@ -147,31 +175,39 @@ class Corpus:
         )
         return lined.unionByName(stances)
 
-    @cached_property
-    def edges(self) -> DataFrame:
+    def build_edges(self) -> DataFrame:
         key = F.col("l_partkey")
         name = lambda prefix, of: F.concat(F.lit(prefix), of.cast("string"))
-        link = lambda relation, source, target: F.struct(
-            F.lit(relation).alias("relation"), source.alias("source"), target.alias("target")
-        )
-        construct, value, marker = name("c", key), name("v", F.col("s_nationkey")), name("m", F.col("p_type"))
-        reverse = F.col("p_size") % 7 == 0
-        # all edges a line gives rise to, deduplicated in one shuffle
+        construct = name("c", key)
+        # all edges a line gives rise to, deduplicated in one shuffle of short keys; names are built afterwards
+        kind = lambda code, other: F.struct(F.lit(code).cast("byte").alias("kind"), other.cast("string").alias("other"))
         candidates = F.array_compact(
             F.array(
-                link("SERVES", construct, value),
-                link("EXPRESSED_VIA", name("s", F.col("l_returnflag")), construct),
-                F.when(reverse, link("MODULATED_BY", marker, construct)).otherwise(link("MODULATED_BY", construct, marker)),
-                F.when(key % 97 == 0, link("SERVES", construct, name("x", key))),
-                F.when(key % 101 == 0, link("RELATES", construct, construct)),
+                kind(0, F.col("s_nationkey")),
+                kind(1, F.col("l_returnflag")),
+                F.when(F.col("p_size") % 7 == 0, kind(3, F.col("p_type"))).otherwise(kind(2, F.col("p_type"))),
+                F.when(key % 97 == 0, kind(4, F.lit(None))),
+                F.when(key % 101 == 0, kind(5, F.lit(None))),
             )
         )
-        direct = (
-            self.enriched.select("graph_id", key.alias("x"), F.explode(candidates).alias("e"))
-            .select("graph_id", "x", "e.*")
-            .distinct()
-            .select(*_edge(F.col("relation"), F.col("source"), F.col("target"), F.col("x")))
-        )
+        found = (
+            self.enriched.select("graph_id", key, F.explode(candidates).alias("e"))
+            .groupBy("graph_id", "l_partkey", "e.kind", "e.other")
+            .agg(F.lit(1).alias("_one"))
+        )
+        is_kind = lambda *codes: F.col("kind").isin(*codes)
+        other = F.col("other")
+        source = F.when(is_kind(1), name("s", other)).when(is_kind(3), name("m", other)).otherwise(construct)
+        target = (
+            F.when(is_kind(0), name("v", other))
+            .when(is_kind(2), name("m", other))
+            .when(is_kind(4), name("x", key))
+            .otherwise(construct)
+        )
+        relation = (
+            F.when(is_kind(0, 4), "SERVES").when(is_kind(1), "EXPRESSED_VIA").when(is_kind(2, 3), "MODULATED_BY").otherwise("RELATES")
+        )
+        direct = found.select(*_edge(relation, source, target, key))
         pairs = consecutive_pairs(self.lines, ["graph_id"], "l_partkey", "before")
         step = (F.col("before") + key) % 4
         links = pairs.where(step.isin(0, 1)).select(
@@ -360,10 +396,6 @@ class Corpus:
             .unionByName(coded(encode(self.consensus, AMBIVALENCE_CODES), "stance_ambivalence"))
         )
 
-    @cached_property
-    def splits(self) -> DataFrame:
-        return repeated_splits(self.target_labels, SEEDS)
-
     @cached_property
     def predictions(self) -> DataFrame:
         """Deterministic answers of twelve configurations on val and test of the two three-class targets."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from conceptspark.fixtures import SEEDS
 from conceptspark.operators import evaluation, experiments, splits
 from conceptspark.plans.features import rounded
 from conceptspark.plans.registry import query
@@ -23,7 +24,7 @@ def _(c):
 
 @query("d02_repeated_splits", "SELECT target, seed, transcript_id, label, split FROM fx_splits")
 def _(c):
-    return c.splits
+    return splits.repeated_splits(c.target_labels, SEEDS)
 
 
 @query(
