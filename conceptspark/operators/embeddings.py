@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +30,25 @@ def text_features(texts: DataFrame, column: str = "formatted", dim: int = 256) -
 def label_bag(nodes: DataFrame, label_vectors: DataFrame, graphs: DataFrame, dim: int) -> DataFrame:
     """(graph_id, features): mean of the unit label vectors of all nodes; no nodes gives the zero vector.
 
-    Vectors are summed map-side; the join side of the vectors is the label vocabulary, not the nodes.
+    Nodes are first counted per (graph, label): a graph then has at most one row per label, however many nodes, and
+    can be brought together before the wide vectors are attached. With a vocabulary small enough to be broadcast
+    the vectors never cross a shuffle.
     """
-    named = nodes.select("graph_id", "type", F.coalesce("label", F.lit("")).alias("label"))
+    named = (
+        nodes.groupBy("graph_id", "type", F.coalesce("label", F.lit("")).alias("label"))
+        .agg(F.count("*").alias("_n"))
+        .repartition("graph_id")
+    )
     unit = label_vectors.select("type", "label", normalised(F.col("vector")).alias("_u"))
-    mean = (
+    sums = (
         named.join(unit, ["type", "label"])
         .groupBy("graph_id")
-        .agg(vector_to_array(Summarizer.mean(array_to_vector("_u"))).alias("features"))
+        .agg(F.sum("_n").alias("_all"), *[F.sum(F.get("_u", F.lit(i)) * F.col("_n")).alias(f"_s{i}") for i in range(dim)])
     )
     zero = F.array_repeat(F.lit(0.0), dim)
-    return graphs.select("graph_id").join(mean, "graph_id", "left").select(
-        "graph_id", F.coalesce("features", zero).alias("features")
+    mean = F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dim)])
+    return graphs.select("graph_id").join(sums, "graph_id", "left").select(
+        "graph_id", F.when(F.col("_all").isNull(), zero).otherwise(mean).alias("features")
     )
 
 

@@ -10,50 +10,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptspark.functions.vocabulary import ENTITY_TYPES, RELATIONS
-from conceptspark.operators.features import SHORT, edge_features, node_features
+from conceptspark.operators.features import SHORT, node_features
 from conceptspark.operators.ranking import hash_order, rank_by_hash
 
 CHANNELS = [f"is_{SHORT[t]}" for t in ENTITY_TYPES] + ["degree"]
 
 
-def _round(state: DataFrame, arcs: DataFrame, channels: list[str], message) -> DataFrame:
-    """New state = own state + sum of messages of in-neighbours, in a single aggregation."""
-    sent = arcs.join(state.withColumnRenamed("id", "source"), ["graph_id", "source"]).select(
-        "graph_id", F.col("target").alias("id"), *[message(c).alias(c) for c in channels]
-    )
-    return (
-        state.select("graph_id", "id", *channels)
-        .unionByName(sent)
-        .groupBy("graph_id", "id")
-        .agg(*[F.sum(c).alias(c) for c in channels])
-    )
+def with_self_arcs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Arcs plus one (v, v) arc without relation per listed node.
+
+    The self-arc carries a node's own state through the same join and sum as its neighbours' messages, so each
+    round reads the previous state once; the arcs have the same shuffle in every round.
+    """
+    arcs = edges.select("graph_id", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"), F.lit(0).alias("_own"))
+    own = nodes.select("graph_id", F.col("id"), F.col("id"), F.lit(None).cast("string"), F.lit(1))
+    return arcs.union(own)
 
 
 def propagate_nodes(
     nodes: DataFrame, edges: DataFrame, rounds: int = 2, typed: bool = False, own: DataFrame | None = None
 ) -> DataFrame:
-    """Node states after ``rounds`` sum aggregations.
+    """Node states after ``rounds`` sum aggregations over in-neighbours and the node itself.
 
     Typed messages add the relation one-hot to the type channels and are cut at zero, so the same
-    neighbour counts differently under different relations.
+    neighbour counts differently under different relations. Arcs from unlisted sources drop out of the join;
+    unlisted targets have no self-arc and are dropped after the sum.
     """
     state = own if own is not None else node_features(nodes, edges)
-    arcs = edge_features(nodes, edges)
+    arcs = with_self_arcs(nodes, edges)
     channels = list(CHANNELS)
     if typed:
         channels += [f"r_{r.lower()}" for r in RELATIONS]
         state = state.select("graph_id", "id", *CHANNELS, *[F.lit(0.0).alias(c) for c in channels if c not in CHANNELS])
-        arcs = arcs.select(
-            "graph_id", "source", "target", *[F.col(f"r_{r.lower()}").alias(f"e_{r.lower()}") for r in RELATIONS]
-        )
 
     def message(c: str) -> Column:
+        value = F.col(c)
         if typed and c.startswith("r_"):
-            return F.greatest(F.lit(0.0), F.col(c) + F.col("e_" + c[2:]))
-        return F.greatest(F.lit(0.0), F.col(c)) if typed else F.col(c)
+            value = value + F.when(F.col("relation") == c[2:].upper(), 1.0).otherwise(0.0)
+        return F.when(F.col("_own") == 1, F.col(c)).otherwise(F.greatest(F.lit(0.0), value)) if typed else value
 
     for _ in range(rounds):
-        state = _round(state, arcs, channels, message)
+        state = (
+            arcs.join(state.withColumnRenamed("id", "source"), ["graph_id", "source"])
+            .groupBy("graph_id", F.col("target").alias("id"))
+            .agg(F.max("_own").alias("_listed"), *[F.sum(message(c)).alias(c) for c in channels])
+            .where("_listed = 1")
+            .drop("_listed")
+        )
     return state
 
 
@@ -76,27 +79,20 @@ def wl_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 2, typed: bool
     equal sums, and the sums are aggregated map-side where a sorted neighbour list could not be.
     """
     state = nodes.select("graph_id", "id", F.md5(F.coalesce("type", F.lit(""))).alias("colour"))
-    known = nodes.select("graph_id", "id").distinct()
-    arcs = (
-        edges.select("graph_id", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"))
-        .join(known.withColumnRenamed("id", "source"), ["graph_id", "source"], "left_semi")
-        .join(known.withColumnRenamed("id", "target"), ["graph_id", "target"], "left_semi")
-    )
+    arcs = with_self_arcs(nodes, edges)
+    is_own = F.col("_own") == 1
     for _ in range(rounds):
         token = F.concat_ws("|", F.col("relation"), F.col("colour")) if typed else F.col("colour")
-        sent = arcs.join(state.withColumnRenamed("id", "source"), ["graph_id", "source"]).select(
-            "graph_id",
-            F.col("target").alias("id"),
-            F.lit(None).cast("string").alias("colour"),
-            digit_block(token, 1).alias("a"),
-            digit_block(token, 9).alias("b"),
-        )
-        zero = F.lit(0).cast("long")
+        block = lambda start: F.when(is_own, F.lit(0).cast("long")).otherwise(digit_block(token, start))
         state = (
-            state.select("graph_id", "id", "colour", zero.alias("a"), zero.alias("b"))
-            .unionByName(sent)
-            .groupBy("graph_id", "id")
-            .agg(F.max("colour").alias("colour"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+            arcs.join(state.withColumnRenamed("id", "source"), ["graph_id", "source"])
+            .groupBy("graph_id", F.col("target").alias("id"))
+            .agg(
+                F.max(F.when(is_own, F.col("colour"))).alias("colour"),
+                F.sum(block(1)).alias("a"),
+                F.sum(block(9)).alias("b"),
+            )
+            .where(F.col("colour").isNotNull())  # an unlisted target has no colour of its own
             .select(
                 "graph_id",
                 "id",
