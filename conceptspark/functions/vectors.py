@@ -33,11 +33,16 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def _found(queries: pd.DataFrame, ids, others, similarities) -> pd.DataFrame:
+    """Result rows; the type is a plain object column, whatever string storage pandas chose for it."""
+    kind = [queries["type"].iloc[0]] * len(ids) if len(ids) else []
+    return pd.DataFrame({"type": pd.Series(kind, dtype=object), "id": ids, "other": others, "similarity": similarities})
+
+
 def similar_in_block(queries: pd.DataFrame, block: pd.DataFrame, floor: float, best_only: bool) -> pd.DataFrame:
     """Similarities above ``floor`` between query and block rows: each query's best partner, or all with id < other."""
-    empty = pd.DataFrame({"type": [], "id": [], "other": [], "similarity": []})
     if not len(queries) or not len(block):
-        return empty
+        return _found(queries, [], [], [])
     q_id, b_id = queries["id"].to_numpy(), block["id"].to_numpy()
     sims = np.round(matrix(queries["mean"]) @ matrix(block["mean"]).T, 12)
     if best_only:
@@ -50,6 +55,6 @@ def similar_in_block(queries: pd.DataFrame, block: pd.DataFrame, floor: float, b
             ties = b_id[sims[i] == top[i]]
             pair = min((min(q_id[i], o), max(q_id[i], o)) for o in ties)
             rows.append(pair[0] if pair[1] == q_id[i] else pair[1])
-        return pd.DataFrame({"type": queries["type"].iloc[0], "id": q_id[keep], "other": rows, "similarity": top[keep]})
+        return _found(queries, q_id[keep], rows, top[keep])
     a, b = np.nonzero((sims > floor) & (q_id[:, None] < b_id[None, :]))
-    return pd.DataFrame({"type": queries["type"].iloc[0], "id": q_id[a], "other": b_id[b], "similarity": sims[a, b]})
+    return _found(queries, q_id[a], b_id[b], sims[a, b])
