@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from conceptspark.operators.embeddings import align_modalities
 from conceptspark.operators.evaluation import class_report, macro_f1
 from conceptspark.operators.experiments import class_weights
+from conceptspark.operators.joins import join_counted
 from conceptspark.operators.ranking import hash_order, rank_by_hash
 from conceptspark.session import cut_lineage
 
@@ -66,7 +67,7 @@ def weighted(train: DataFrame, balanced: bool) -> DataFrame:
     if not balanced:
         return rows.withColumn("_w", F.lit(1.0))
     table = class_weights(train.select(F.lit("all").alias("target"), "label")).select("label", F.col("weight").alias("_w"))
-    return rows.join(table, "label")
+    return join_counted(rows, table, ["label"])
 
 
 def _n_classes(train: DataFrame) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptspark.functions.vocabulary import VALENCES, VERIFY_KEYWORDS
 from conceptspark.operators import features, validation
+from conceptspark.operators.joins import join_counted
 
 CONFLICT = "CONFLICTS_WITH"
 MIX_RELATIONS = ["SERVES", "EXPRESSED_VIA", "MODULATED_BY", CONFLICT]
@@ -165,7 +166,7 @@ def histogram(df: DataFrame, group: str, column: str, bins: int = 20) -> DataFra
     limits = df.groupBy(group).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(1.0)
     place = F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    return df.join(limits, group).groupBy(group, place.alias("bin")).agg(F.count("*").alias("n"))
+    return join_counted(df, limits, [group]).groupBy(group, place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def relation_distribution(edges: DataFrame, graphs: DataFrame) -> DataFrame:

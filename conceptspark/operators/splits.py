@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators.joins import join_counted
 from conceptspark.operators.ranking import hash_order, rank_by_hash
 
 
@@ -53,7 +56,7 @@ def repeated_splits(labels: DataFrame, seeds: list[int]) -> DataFrame:
         .when(F.col("_rank") <= F.col("train_k") + F.col("val_k"), "val")
         .otherwise("test")
     )
-    return ranked.join(quotas, ["target", "label"]).select(
+    return join_counted(ranked, quotas, ["target", "label"]).select(
         "target", "seed", "transcript_id", "label", split.alias("split")
     )
 
@@ -90,11 +93,7 @@ def split_leakage(splits: DataFrame, labels: DataFrame) -> DataFrame:
 
 def holdout(ids: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Mark ceil(fraction·n) ids, the first in hash order, as ``held_out``."""
-    keyed = ids.withColumn("_order", hash_order(seed, "transcript_id")).withColumn("_all", F.lit(1))
-    ranked = rank_by_hash(keyed, ["_all"], "_order", "_rank", tie="transcript_id")
-    total = ids.agg(F.ceil(F.count("*") * F.lit(fraction)).alias("_k")).withColumn("_all", F.lit(1))
-    return (
-        ranked.join(total, "_all")
-        .withColumn("held_out", F.col("_rank") <= F.col("_k"))
-        .drop("_order", "_all", "_rank", "_k")
-    )
+    keyed = ids.withColumn("_order", hash_order(seed, "transcript_id"))
+    ranked = rank_by_hash(keyed, [], "_order", "_rank", tie="transcript_id")
+    wanted = math.ceil(ids.count() * fraction)
+    return ranked.withColumn("held_out", F.col("_rank") <= wanted).drop("_order", "_rank")
