@@ -251,7 +251,7 @@ class Corpus:
 
     @cached_property
     def graphs(self) -> DataFrame:
-        filled = self.lines.select("graph_id").distinct()
+        filled = self.table("lineitem").select(F.col("l_orderkey").alias("graph_id")).distinct()
         key = F.col("graph_id")
         return self.cohorts.join(filled, "graph_id", "left_semi").select(
             "graph_id",
