@@ -22,7 +22,6 @@ from conceptspark.llm.common import long, per_text, string, tokenizer_file
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_ENTRIES = 700_000
-AHEAD = 500
 
 # fixed values: the rule that splits words, and the characters that stand for bytes in byte-level vocabularies
 WORDS = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -191,9 +190,8 @@ def encode_decode(
         def work(texts):
             rows = []
             texts = [t or "" for t in texts]
-            for k, text in enumerate(texts):
-                if k % AHEAD == 0:
-                    codec.prepare(texts[k : k + AHEAD])
+            codec.prepare(texts)
+            for text in texts:
                 ids = codec.encode(text)
                 decoded = codec.decode(ids)
                 row = [len(ids), hashlib.sha256(_little_endian(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]

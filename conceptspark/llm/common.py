@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from conceptspark.session import scratch_path
 
 
+SLICE = 500
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file on the machine that asks (executors ask for themselves)."""
     import public_tokenizers
@@ -49,8 +52,8 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 values = work(batch.column(batch.num_columns - 1).to_pylist())
                 columns = [*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(values, types, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
@@ -58,6 +61,12 @@ def per_text(
     return picked.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a few rows, so that Python objects are made of few texts at a time."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     plain = {
         T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(),

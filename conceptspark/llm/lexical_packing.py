@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptspark.llm.common import long, tokenizer_file
+from conceptspark.llm.common import long, slices, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -187,7 +187,7 @@ def pack(
             return pa.RecordBatch.from_arrays([first, *rest], names=schema.fieldNames())
 
         type_of_key = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             type_of_key = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4", copy=False)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptspark.llm.common import boolean, double, long, stored
+from conceptspark.llm.common import boolean, double, long, slices, stored
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
@@ -93,7 +93,7 @@ def blocks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str, blo
             ]
             return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             kind = batch.schema.field(0).type
             for key, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if texts and size + len(text) > block_bytes:

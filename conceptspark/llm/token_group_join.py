@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by a token-group matrix, down to connected classes of documents.
 
-Documents with the same shingle set are one entity. By the prefix principle two sets that reach the threshold share one of their
-rarest shingles, so entities that share none of these with another are done. The others are partitioned into groups of similar sets. The
-matrix says which group holds which rare shingle; a query looks only at groups that hold one of its own, a group's token union
+Documents with the same shingle set are one entity. By the prefix principle two sets that reach the threshold share several of their
+rarest shingles, so entities that share too few of these with others are done. The rest is partitioned into groups of similar sets. The
+matrix says which group holds which rare shingle; a query looks only at groups that hold enough of its own, a group's token union
 bounds the overlap any member can have with the query, and only groups that can reach the threshold are opened and compared member by
 member. Inside a class that is already connected nothing is compared again, which keeps huge families of copies cheap: groups are
 first connected inside, then by one query per class, and only what is still apart is searched by every member.
@@ -11,59 +11,95 @@ first connected inside, then by one query per class, and only what is still apar
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conceptspark.llm.common import stored
+from conceptspark.llm.common import slices, stored
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 20
+#: one more rare shingle in the prefix, and one more that partners must share, for so many shingles of a set
+PER_EXTRA = 10
+SKETCH_BITS = 24
 FILTER_BITS = 20
-GROUP_SIZE = 128
+GROUP_SIZE = 256
 QUERY_CHUNK = 256
-CACHE_ENTRIES = 400_000
 SEEN_ENTRIES = 200_000
+PART = 1 << 19
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_random = np.random.default_rng(20240101)
+#: a random number for each byte; A-Z count as a-z, white space as nothing
+LETTERS = _random.integers(0, 2**64, 256, np.uint64)
+LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B]
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BASE = 0xD6E8FEB86659FD95
+INVERSE = pow(BASE, -1, 2**64)
 
 
 class Shingler:
     """Sets of hashed word shingles: sorted unsigned 64-bit hashes of ``width`` words, A-Z in lower case.
 
-    A text of fewer words is one shingle; a text without words or a null one has the empty set.
+    A text of fewer words is one shingle; a text without words or a null one has the empty set. Words are hashed for many texts at once: a sum
+    of random numbers of their bytes times powers of an odd base, taken as differences of one running sum.
     """
 
-    def __init__(self, width: int = WIDTH, cache_entries: int = CACHE_ENTRIES):
-        self.width, self.cache_entries = width, cache_entries
-        self.known: dict[bytes, int] = {}
-
-    def _number(self, word: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            numbers = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.cache_entries:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._number(w)
-            numbers = [known[w] for w in words]
-        hashes = np.array(numbers, np.uint64)
-        width = min(self.width, len(words))
-        total = np.full(len(words) - width + 1, width, np.uint64)
+    def __init__(self, width: int = WIDTH):
+        self.width = width
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            self.power, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (BASE, INVERSE))
+
+    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first bytes of the words of ``raw``, which starts and ends with white space."""
+        data = np.frombuffer(raw, np.uint8)
+        self._powers(len(data))
+        space = IS_SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        first, behind = edge[::2], edge[1::2]
+        running = np.cumsum(LETTERS[data] * self.power[: len(data)], dtype=np.uint64)
+        total = (running[behind - 1] - running[first - 1]) * self.inverse[first]
+        total = (total ^ (total >> np.uint64(32))) * MIX[1]
+        return total ^ (total >> np.uint64(29)), first
+
+    def all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The set of each text, in order."""
+        now: list[bytes] = []
+        size = 0
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            if now and size + len(raw) > PART:
+                yield from self._sets(now)
+                now, size = [], 0
+            now.append(raw)
+            size += len(raw) + 1
+        if now:
+            yield from self._sets(now)
+
+    def _sets(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        numbers, first = self._words(b" " + b" ".join(raws) + b" ")
+        behind = 1 + np.cumsum([len(r) + 1 for r in raws])
+        cuts = np.searchsorted(first, behind).tolist()
+        for a, b in zip([0, *cuts], cuts):
+            yield self._shingles(numbers[a:b])
+
+    def _shingles(self, numbers: np.ndarray) -> np.ndarray:
+        if not len(numbers):
+            return numbers
+        width = min(self.width, len(numbers))
+        n = len(numbers) - width + 1
+        total = np.full(n, width, np.uint64)
         for k in range(width):
-            total = (total ^ (total >> np.uint64(29))) * MIX[0] + hashes[k : len(hashes) - width + 1 + k]
+            total = (total ^ (total >> np.uint64(29))) * MIX[0] + numbers[k : n + k]
         total = (total ^ (total >> np.uint64(30))) * MIX[1]
         total = (total ^ (total >> np.uint64(27))) * MIX[2]
         return np.unique(total ^ (total >> np.uint64(31)))
@@ -74,6 +110,16 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def extra(n: int) -> int:
+    """Shingles that the prefix of a set of ``n`` holds beyond the shortest one, plus one: as many are shared by partners as large."""
+    return max(1, n // PER_EXTRA)
+
+
+def _must_share(n: Column, percent: int) -> Column:
+    """Rare shingles that an entity of ``n`` shares with any partner: :func:`extra` of the smallest partner's size."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(percent * n / 100) / PER_EXTRA)).cast("long")
+
+
 def linked(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
     """Whether the sets (sorted, distinct) reach the threshold."""
     a, b = len(own), len(other)
@@ -93,74 +139,104 @@ def _texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
 
 
 def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray:
-    """How many documents hold a shingle of each hash bucket: ``2 ** bits`` counts, whatever the input's size.
+    """How many documents hold a shingle of each hash bucket: ``2 ** bits`` counts up to 65,535, whatever the input's size.
 
     Any total order of shingles keeps the join exact; these counts only put the frequent ones last.
     """
     parts = 64
     step = (1 << bits) // parts
 
+    def packed(counts: np.ndarray) -> bytes:
+        return zlib.compress(np.minimum(counts, 65_535).astype("<u2").tobytes(), 1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(width), np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(text) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        pieces = [counts[k * step : (k + 1) * step].astype("<u4").tobytes() for k in range(parts)]
+        shingles, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
+        for batch in (part for whole in batches for part in slices(whole)):
+            for hashes in shingles.all(batch.column(0).to_pylist()):
+                np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        pieces = [packed(counts[k * step : (k + 1) * step]) for k in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(pieces, pa.binary())], names=["part", "counts"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in part["counts"])
-        return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        total = np.zeros(step, np.int64)
+        for piece in part["counts"]:
+            total += np.frombuffer(zlib.decompress(piece), "<u2")
+        return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [packed(total)]})
 
     schema = "part int, counts binary"
     added = _texts(docs, text_col).mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema)
-    rows = {r["part"]: bytes(r["counts"]) for r in added.collect()}
-    empty = bytes(4 * step)
-    return np.frombuffer(b"".join(rows.get(k, empty) for k in range(parts)), "<u4")
+    rows = {r["part"]: zlib.decompress(r["counts"]) for r in added.collect()}
+    empty = bytes(2 * step)
+    return np.frombuffer(b"".join(rows.get(k, empty) for k in range(parts)), "<u2")
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, order, sketch_bits: int) -> DataFrame:
-    """Per row: id, set size, entity, and the rarest shingles of the set, one of which any partner has among its own."""
+    """Per row: number, id, set size, entity, and the rarest shingles of the set (null where the task has given the entity's before)."""
     bits = np.uint64(64 - sketch_bits)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(width), order.value
-        for batch in batches:
+        from pyspark import TaskContext
+
+        shingles, counts, seen = Shingler(width), order.value, set()
+        number = TaskContext.get().partitionId() << 40
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes, entities, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingles(text)
-                n = len(hashes)
+            for hashes in shingles.all(batch.column(1).to_pylist()):
+                n, entity = len(hashes), _entity(hashes)
                 sizes.append(n)
-                entities.append(_entity(hashes))
+                entities.append(entity)
+                if entity in seen or not n:
+                    prefixes.append(None)
+                    continue
+                if len(seen) > SEEN_ENTRIES:
+                    seen.clear()
+                seen.add(entity)
                 frequency = counts[(hashes >> bits).astype(np.int64)]
-                rare = np.lexsort((hashes, frequency))[: n - needed(n, percent) + 1 if n else 0]
+                rare = np.argsort(frequency, kind="stable")[: n - needed(n, percent) + extra(n)]
                 prefixes.append(hashes[rare].view(np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(entities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "entity", "prefix"])
+            numbers = pa.array(range(number, number + len(sizes)), pa.int64())
+            number += len(sizes)
+            columns = [numbers, batch.column(0), pa.array(sizes, pa.int64()), pa.array(entities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "key", "n", "entity", "prefix"])
 
     picked = _texts(docs, text_col, F.col(f"`{id_col}`").alias("key"))
-    return picked.mapInArrow(sign, f"key {picked.schema['key'].dataType.simpleString()}, n long, entity binary, prefix array<long>")
+    return picked.mapInArrow(sign, f"number long, key {picked.schema['key'].dataType.simpleString()}, n long, entity binary, prefix array<long>")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that at least two entities hold."""
+    holders = F.count("*").over(Window.partitionBy("token"))
+    return postings.withColumn("holders", holders).filter("holders > 1").drop("holders")
+
+
+def _postings(representatives: DataFrame, percent: int) -> DataFrame:
+    """Columns token, id, n: rare shingles that entities share, of entities that share enough of them to have a partner."""
+    found = stored(_shared(representatives.select(F.explode("prefix").alias("token"), "id", "n")), "postings")
+    for _ in range(2):
+        enough = found.groupBy("id", "n").agg(F.count("*").alias("share")).filter(F.col("share") >= _must_share(F.col("n"), percent)).select("id")
+        found = stored(_shared(found.join(enough, "id", "left_semi")), "postings")
+    return found
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, active: DataFrame) -> DataFrame:
-    """Entity and whole set of the ``active`` entities, once each.
+    """Columns id and shingles: the whole set of the ``active`` entities (entity, id), once each.
 
     A filter of fixed size holds back most others before anything is shuffled; the join after it is exact.
     """
-    spread = F.pmod(F.xxhash64("entity"), F.lit(1 << FILTER_BITS))
+    slot = F.expr(f"cast(conv(hex(substring(entity, 1, 4)), 16, 10) as long) % {1 << FILTER_BITS}")
     flags = np.zeros(1 << FILTER_BITS, bool)
-    slots = active.select(spread.alias("slot")).distinct().collect()  # at most 2 ** FILTER_BITS
+    slots = active.select(slot.alias("slot")).distinct().collect()  # at most 2 ** FILTER_BITS
     flags[np.array([r["slot"] for r in slots], np.int64)] = True
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = np.unpackbits(flags.value).astype(bool)
         shingles, seen = Shingler(width), set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             entities, sets = [], []
-            for text in batch.column(0).to_pylist():
-                hashes = shingles(text)
+            for hashes in shingles.all(batch.column(0).to_pylist()):
                 entity = _entity(hashes)
-                if entity not in seen:
+                if allowed[int.from_bytes(entity[:4], "big") % len(allowed)] and entity not in seen:
                     if len(seen) > SEEN_ENTRIES:
                         seen.clear()
                     seen.add(entity)
@@ -168,15 +244,8 @@ def _sets(docs: DataFrame, text_col: str, width: int, active: DataFrame) -> Data
                     sets.append(hashes.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["entity", "shingles"])
 
-    def pass_active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.unpackbits(flags.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(allowed[batch.column(2).to_numpy()]))
-
-    schema = "entity binary, shingles array<long>"
-    rows = _texts(docs, text_col).mapInArrow(emit, schema).withColumn("slot", spread)
-    rows = rows.mapInArrow(pass_active, schema + ", slot long").drop("slot")
-    return rows.join(active, "entity", "left_semi").groupBy("entity").agg(F.first("shingles").alias("shingles"))
+    rows = _texts(docs, text_col).mapInArrow(emit, "entity binary, shingles array<long>")
+    return rows.join(active, "entity").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 class _Classes:
@@ -200,15 +269,15 @@ def _connect_group(percent: int):
     """Classes inside one group of bounded size."""
 
     def connect(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("entity").reset_index(drop=True)
-        sets = [np.sort(s.view(np.uint64)) for s in part["shingles"]]
+        part = part.sort_values("id").reset_index(drop=True)
+        sets = [s.view(np.uint64) for s in part["shingles"]]
         classes = _Classes(len(sets))
         for a in range(len(sets)):
             for b in range(a + 1, len(sets)):
                 if classes.find(a) != classes.find(b) and linked(sets[a], sets[b], percent):
                     classes.join(a, b)
-        found = part["entity"].iloc[[classes.find(k) for k in range(len(sets))]].to_numpy()
-        return pd.DataFrame({"entity": part["entity"], "class": found})
+        ids = part["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "class": ids[[classes.find(k) for k in range(len(sets))]]})
 
     return connect
 
@@ -217,13 +286,13 @@ def _open_groups(percent: int):
     """Links between classes of queries and classes of members of one group."""
 
     def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[bytes, bytes]] = set()
+        found: set[tuple[int, int]] = set()
         if len(members) and len(queries):
-            sets = [np.sort(s.view(np.uint64)) for s in members["shingles"]]
+            sets = [s.view(np.uint64) for s in members["shingles"]]
             union = np.unique(np.concatenate(sets))
             sizes, classes = np.array([len(s) for s in sets]), members["class"].to_numpy()
             for own, mine in zip(queries["asked"], queries["asked_class"], strict=True):
-                own = np.sort(own.view(np.uint64))
+                own = own.view(np.uint64)
                 n = len(own)
                 at = np.minimum(np.searchsorted(union, own), len(union) - 1)
                 if 100 * int((union[at] == own).sum()) < percent * n:
@@ -232,7 +301,7 @@ def _open_groups(percent: int):
                     pair = (min(mine, classes[k]), max(mine, classes[k]))
                     if pair[0] != pair[1] and pair not in found and linked(own, sets[k], percent):
                         found.add(pair)
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return compare
 
@@ -253,33 +322,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cross_links(postings: DataFrame, placed: DataFrame, sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links between classes: ``queries`` (entity) against every group that holds one of their rare shingles in another class.
+    """Links between classes: ``queries`` (id) against every group that holds enough of their rare shingles in another class.
 
-    ``placed`` has entity, n, grp and class.
+    ``placed`` has id, grp and class. Of two classes the smaller one asks, so a huge family is searched but never asks itself.
     """
-    entries = postings.join(placed, "entity").select("token", "entity", "n", "grp", "class")
-    apart = entries.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("token")
+    sizes = placed.groupBy("class").agg(F.count("*").alias("size"))
+    ranked = placed.join(sizes, "class").select("id", "grp", F.struct("size", "class").alias("rank"))
+    entries = postings.join(ranked, "id").select("token", "id", "n", "grp", "rank")
+    apart = entries.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low != high").select("token")
     entries = stored(entries.join(apart, "token", "left_semi"), "matrix")
-    matrix = entries.groupBy("token", "grp", "class").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = entries.join(queries, "entity", "left_semi").select("token", "entity", F.col("n").alias("own_n"), F.col("class").alias("own_class"))
+    matrix = entries.groupBy("token", "grp").agg(F.max("rank").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = entries.join(queries, "id", "left_semi").select("token", "id", F.col("n").alias("own"), "rank")
     meets = asked.join(matrix, "token").filter(
-        (F.col("class") != F.col("own_class")) & (100 * F.col("most") >= percent * F.col("own_n")) & (percent * F.col("least") <= 100 * F.col("own_n"))
+        (F.col("rank") < F.col("high")) & (100 * F.col("most") >= percent * F.col("own")) & (percent * F.col("least") <= 100 * F.col("own"))
     )
-    pairs = stored(meets.select("entity", "grp").distinct(), "candidates")
+    enough = F.col("share") >= _must_share(F.col("own"), percent)
+    pairs = stored(meets.groupBy("id", "grp", "own").agg(F.count("*").alias("share")).filter(enough).select("id", "grp"), "candidates")
     chunks = pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
-    own = placed.join(sets, "entity").select("entity", "shingles", "class", "grp")
-    asking = pairs.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("entity"), F.col("chunks")).cast("int"))
-    asking = asking.join(own.drop("grp"), "entity").select(
+    own = placed.join(sets, "id").select("id", "shingles", "class", "grp")
+    asking = pairs.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    asking = asking.join(own.drop("grp"), "id").select(
         F.col("grp").alias("asked_grp"), F.col("chunk").alias("asked_chunk"), F.col("shingles").alias("asked"), F.col("class").alias("asked_class")
     )
     members = own.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunk", "shingles", "class")
     opened = members.groupBy("grp", "chunk").cogroup(asking.groupBy("asked_grp", "asked_chunk"))
-    return opened.applyInPandas(_open_groups(percent), "a binary, b binary").distinct()
+    return opened.applyInPandas(_open_groups(percent), "a long, b long").distinct()
 
 
 def _relabel(placed: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "class")
-    return stored(placed.join(roots, "class", "left").select("entity", "n", "grp", F.coalesce("root", "class").alias("class")), "classes")
+    return stored(placed.join(roots, "class", "left").select("id", "grp", F.coalesce("root", "class").alias("class")), "classes")
 
 
 def jaccard_classes(
@@ -296,26 +368,22 @@ def jaccard_classes(
     context = docs.sparkSession.sparkContext
     order = context.broadcast(_sketch(docs, text_col, width, sketch_bits))
     signed = stored(_signatures(docs, id_col, text_col, width, percent, order, sketch_bits), "signatures")
-    entities = signed.filter("n > 0").groupBy("entity").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entities = stored(entities, "entities")
-    rare = entities.select("entity", F.explode("prefix").alias("token"))
-    shared = rare.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select("token")
-    postings = stored(rare.join(shared, "token", "left_semi"), "postings")
-    active = stored(postings.groupBy("entity").agg(F.min("token").alias("first_token")), "active")
+    owners = stored(signed.filter("n > 0").groupBy("entity").agg(F.min("number").alias("id")), "owners")
+    representatives = signed.filter("prefix is not null").join(owners.select(F.col("id").alias("number")), "number", "left_semi")
+    postings = _postings(representatives.select(F.col("number").alias("id"), "n", "prefix"), percent)
+    active = stored(postings.groupBy("id").agg(F.min("token").alias("first_token")), "active")
     sizes = active.groupBy("first_token").agg(F.ceil(F.count("*") / group_size).alias("splits"))
-    split = F.pmod(F.xxhash64("entity"), F.col("splits"))
-    placed = active.join(sizes, "first_token").select("entity", F.xxhash64("first_token", split).alias("grp"))
-    placed = stored(placed.join(entities.select("entity", "n"), "entity"), "placed")
-    sets = stored(_sets(docs, text_col, width, placed.select("entity")), "sets")
-    inside = placed.join(sets, "entity").groupBy("grp").applyInPandas(_connect_group(percent), "entity binary, class binary")
-    classes = stored(placed.join(inside, "entity").select("entity", "n", "grp", "class"), "classes")
+    split = F.pmod(F.xxhash64("id"), F.col("splits"))
+    placed = stored(active.join(sizes, "first_token").select("id", F.xxhash64("first_token", split).alias("grp")), "placed")
+    sets = stored(_sets(docs, text_col, width, owners.join(placed.select("id"), "id", "left_semi")), "sets")
+    inside = placed.join(sets, "id").groupBy("grp").applyInPandas(_connect_group(percent), "id long, class long")
+    classes = stored(placed.join(inside, "id").select("id", "grp", "class"), "classes")
     # one query per class connects what is alike, then every member asks the groups that still hold other classes
-    pivots = classes.select(F.col("class").alias("entity")).distinct()
-    classes = _relabel(classes, _cross_links(postings, classes, sets, pivots, percent))
-    everyone = classes.select("entity")
-    classes = _relabel(classes, _cross_links(postings, classes, sets, everyone, percent))
-    known = signed.select("key", "n", "entity").join(classes.select("entity", "class"), "entity", "left")
-    known = stored(known.select("key", "n", F.coalesce("class", "entity").alias("class")), "classed")
+    for everyone in (False, True):
+        queries = classes.select("id") if everyone else classes.select(F.col("class").alias("id")).distinct()
+        classes = _relabel(classes, _cross_links(postings, classes, sets, queries, percent))
+    known = signed.select("key", "n", "entity").join(owners, "entity", "left").join(classes.select("id", "class"), "id", "left")
+    known = stored(known.select("key", "n", F.coalesce("class", "id").alias("class")), "classed")
     lowest = known.filter("n > 0").groupBy("class").agg(F.min("key").alias("lowest"))
     result = known.join(lowest, "class", "left")
     return result.select(F.col("key").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("key")).alias("component_id"))

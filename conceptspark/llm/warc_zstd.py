@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptspark.llm.common import slices
+
 # fixed values: magic numbers of the Zstandard format
 DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -175,7 +177,7 @@ def archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
                 [pa.array([f"pages-{uuid.uuid4().hex}"]), pa.array([build_archive(records)], pa.binary())], names=["archive", "content"]
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for page, uri, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page", "uri", "payload", "refers_to")), strict=True):
                 record = build_record(page, uri, payload, digest(payload), refers_to)
                 if records and size + len(record) > archive_bytes:
