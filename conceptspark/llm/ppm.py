@@ -9,14 +9,13 @@ the trie nor the vocabulary is ever in one place.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,23 +72,29 @@ def _groups(spans: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 
 
 def blocks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Stored rows block, keys, held, lengths, data: whole texts side by side, about ``block_bytes`` in each row."""
+    """Stored rows block, keys, held, lengths, data: whole texts side by side and compressed, about ``block_bytes`` in each row."""
     rows = docs.select(
         F.col(f"`{id_col}`").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     schema = T.StructType([
-        T.StructField("block", T.StringType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)),
+        T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)),
         T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()),
     ])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
         keys, held, texts, size, kind = [], [], [], 0, None
+        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3)
 
         def close():
+            nonlocal number
+            number += 1
             columns = [
-                pa.array([uuid.uuid4().hex]), pa.array([keys], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()),
+                pa.array([number]), pa.array([keys], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(texts))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
@@ -110,6 +115,9 @@ def blocks_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str, blo
 
 
 def _texts(lengths, data: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     ends = np.cumsum(np.asarray(lengths, np.int64)).tolist()
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -151,13 +159,13 @@ def _block_grams(texts: list[bytes], held: list[bool], order: int) -> tuple[np.n
     return every, n
 
 
-KEYS = "block string, place int, code long, word binary, n long"
+KEYS = "block long, place int, code long, word binary, n long"
 
 
-def _key_rows(block: str, codes, words, counts) -> pa.RecordBatch:
+def _key_rows(block: int, codes, words, counts) -> pa.RecordBatch:
     n = len(counts)
     columns = [
-        pa.array([block] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)),
+        pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
         pa.nulls(n, pa.int64()) if codes is None else pa.array(codes, pa.int64()),
         pa.nulls(n, pa.binary()) if words is None else pa.array(words, pa.binary()), pa.array(counts, pa.int64()),
     ]
@@ -288,15 +296,19 @@ def score(
     blocks = blocks_of(docs, F.lit(False) if held_out is None else held_out, id_col, text_col, block_bytes)
     keys = stored(blocks.select("block", "held", "lengths", "data").mapInArrow(_block_keys(order), KEYS), "keys")
     words = keys.filter("word is not null").select("block", "place", "word", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
-    total, kinds = facts[0] + ends, facts[1] + (ends > 0)
     grams = keys.filter("code is not null").select("block", "place", "code", "n")
     table = gram_table(stored(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams"), order)
-    values = words.join(counts, "word").select("block", "place", F.lit(True).alias("is_word"), F.col("c").cast("double").alias("value")).unionByName(
-        grams.join(table, "code").select("block", "place", F.lit(False).alias("is_word"), "value")
+    # a word stands once in each block: its training count, and whether this block is the first that has it
+    same = Window.partitionBy("word")
+    counted = words.select("block", "place", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+    looked_up = grams.join(table, "code").select("block", "place", F.lit(False).alias("is_word"), "value", F.lit(False).alias("first"))
+    values = stored(
+        counted.select("block", "place", F.lit(True).alias("is_word"), F.col("c").cast("double").alias("value"), "first").unionByName(looked_up), "values"
     )
+    total = ends + (words.agg(F.sum("n")).first()[0] or 0)
+    kinds = values.filter("is_word and first and value > 0").count() + (ends > 0)
+    values = values.drop("first")
     kind = blocks.schema["keys"].dataType.elementType
     fields = [T.StructField("key", kind), boolean("held_out"), long("n_tokens"), long("n_known"), double("base_score"), double("score"), long("n_bytes")]
     scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(order, total, kinds, ends, kind), T.StructType(fields))
