@@ -17,7 +17,6 @@ from conceptspark.operators.ranking import consecutive_pairs
 from conceptspark.operators.splits import repeated_splits
 from conceptspark.session import scratch_path
 
-TURNS_PER_PART = 10_000
 _STORED: dict[tuple[str, str, str], str] = {}
 SEEDS = list(range(42, 52))
 QUALITY = {
@@ -265,7 +264,7 @@ class Corpus:
 
     @cached_property
     def transcripts(self) -> DataFrame:
-        """Raw text per (conversation, part); a part holds a fixed number of turns, so no row is unbounded."""
+        """Raw text per conversation."""
         c = self.table("conversations")
         # the opening assistant turn carries its own tag; every other machine turn is tagged AI
         first = (
@@ -280,11 +279,10 @@ class Corpus:
         )
         tagged = c.join(first, "conv_id", "left").select(
             "conv_id",
-            F.floor(F.col("turn") / TURNS_PER_PART).alias("part"),
             "turn",
             F.concat(tag, "text").alias("line"),
         )
-        packed = tagged.groupBy("conv_id", "part").agg(
+        packed = tagged.groupBy("conv_id").agg(
             F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("lines")
         )
         split = F.element_at(
@@ -292,7 +290,6 @@ class Corpus:
         )
         return packed.select(
             F.col("conv_id").alias("transcript_id"),
-            "part",
             split.alias("split"),
             F.array_join("lines.line", "\n").alias("text"),
         )
@@ -410,12 +407,13 @@ class Corpus:
                 for arch, off in (("logistic", 0.0), ("stacked", 0.02))
             ]
         )
-        asked = self.splits.where(F.col("split").isin("val", "test") & (F.col("target") != "ai_adoption")).select(
+        asked = self.splits.where(F.col("split").isin("val", "test")).select(
             "target", "seed", "transcript_id", "split", F.col("label").alias("y"), F.explode(configs).alias("_c")
         ).select("*", "_c.*")
         key = F.concat_ws("|", "target", "combo", "architecture", F.col("seed").cast("string"), F.col("transcript_id").cast("string"))
         h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 1000
-        wrong = ((F.col("y") + 1 + h % 2) % 3).cast("int")
+        two = F.col("target") == "ai_adoption"
+        wrong = F.when(two, 1 - F.col("y")).otherwise((F.col("y") + 1 + h % 2) % 3).cast("int")
         return asked.select(
             "target", "combo", "architecture", "seed", "transcript_id", "split", "y",
             F.when(h < F.col("quality"), F.col("y")).otherwise(wrong).alias("yhat"),
@@ -436,6 +434,6 @@ class Corpus:
     def label_vectors(self) -> DataFrame:
         """A vector for every (type, label), picked from the embeddings by label hash."""
         labels = self.nodes.select("type", "label").distinct()
-        place = F.conv(F.substring(F.md5(F.concat_ws("|", "type", "label")), 1, 8), 16, 10).cast("long") % 256
+        place = F.conv(F.substring(F.md5(F.concat_ws("|", "type", "label")), 1, 8), 16, 10).cast("long") % F.lit(self.table("embeddings").count())
         vectors = self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
         return labels.withColumn("vec_id", place).join(vectors, "vec_id").select("type", "label", "vector")

@@ -59,10 +59,16 @@ def grid_counts(grid: DataFrame) -> DataFrame:
     return grid.groupBy("target", "backend").agg(F.count("*").alias("n"))
 
 
-def class_weights(train: DataFrame) -> DataFrame:
-    """n / (k · count) per class, from train rows (target, label) only."""
+def class_weights(train: DataFrame, n_classes: dict[str, int] | None = None) -> DataFrame:
+    """n / (k · count) per class, from train rows (target, label) only.
+
+    ``n_classes`` names k for targets some of whose classes may be absent from ``train``; else k counts the classes present.
+    """
     counts = train.groupBy("target", "label").agg(F.count("*").alias("n"))
     totals = counts.groupBy("target").agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
+    k = F.col("_k")
+    for target, number in (n_classes or {}).items():
+        k = F.when(F.col("target") == target, F.lit(number)).otherwise(k)
     return counts.join(totals, "target").select(
-        "target", "label", "n", (F.col("_n") / (F.col("_k") * F.greatest(F.col("n"), F.lit(1)))).alias("weight")
+        "target", "label", "n", (F.col("_n") / (k * F.greatest(F.col("n"), F.lit(1)))).alias("weight")
     )

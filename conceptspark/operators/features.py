@@ -36,6 +36,15 @@ def distinct_arcs(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "source", "target").distinct()
 
 
+def one_per_id(nodes: DataFrame, *fields: str) -> DataFrame:
+    """(graph_id, id, fields) with each id once: of rows that repeat an id the last position counts.
+
+    Tables without ``pos`` have no order; the greatest values count there.
+    """
+    order = F.col("pos") if "pos" in nodes.columns else F.struct(*fields)
+    return nodes.groupBy("graph_id", "id").agg(F.max_by(F.struct(*fields), order).alias("_f")).select("graph_id", "id", "_f.*")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In plus out degree on distinct arcs (a self-loop counts twice); isolated nodes have 0.
 
@@ -164,7 +173,7 @@ def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Type one-hot and degree on raw edges; dangling ends are ignored."""
     ends = edges.select("graph_id", F.col("source").alias("id")).union(edges.select("graph_id", "target"))
     raw = ends.groupBy("graph_id", "id").agg(F.count("*").alias("degree"))
-    return nodes.select("graph_id", "id", "type").join(raw, ["graph_id", "id"], "left").select(
+    return one_per_id(nodes, "type").join(raw, ["graph_id", "id"], "left").select(
         "graph_id",
         "id",
         *[typed(t).cast("double").alias(f"is_{SHORT[t]}") for t in ENTITY_TYPES],

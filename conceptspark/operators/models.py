@@ -229,7 +229,7 @@ def run_experiments(
         try:
             return run_experiment(data, splits, config, options), None
         except Exception as error:  # one bad configuration must not end the sweep
-            return None, {**config, "error": str(error)[:500]}
+            return None, {**config, "error": str(error)}
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         outcomes = list(pool.map(attempt, configs))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptspark.functions.vocabulary import ENTITY_TYPES, RELATIONS
-from conceptspark.operators.features import SHORT, node_features
+from conceptspark.operators.features import SHORT, node_features, one_per_id
 from conceptspark.operators.ranking import hash_order, rank_by_hash
 
 CHANNELS = [f"is_{SHORT[t]}" for t in ENTITY_TYPES] + ["degree"]
@@ -37,7 +37,7 @@ def propagate_nodes(
     unlisted targets have no self-arc and are dropped after the sum.
     """
     state = own if own is not None else node_features(nodes, edges)
-    arcs = with_self_arcs(nodes, edges)
+    arcs = with_self_arcs(nodes.select("graph_id", "id").distinct(), edges)
     channels = list(CHANNELS)
     if typed:
         channels += [f"r_{r.lower()}" for r in RELATIONS]
@@ -78,8 +78,8 @@ def wl_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 2, typed: bool
     The multiset of neighbour colours enters through two 32-bit sums of hashed colours: equal multisets give
     equal sums, and the sums are aggregated map-side where a sorted neighbour list could not be.
     """
-    state = nodes.select("graph_id", "id", F.md5(F.coalesce("type", F.lit(""))).alias("colour"))
-    arcs = with_self_arcs(nodes, edges)
+    state = one_per_id(nodes, "type").select("graph_id", "id", F.md5(F.coalesce("type", F.lit(""))).alias("colour"))
+    arcs = with_self_arcs(nodes.select("graph_id", "id").distinct(), edges)
     is_own = F.col("_own") == 1
     for _ in range(rounds):
         token = F.concat_ws("|", F.col("relation"), F.col("colour")) if typed else F.col("colour")

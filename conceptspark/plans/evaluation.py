@@ -347,7 +347,7 @@ ABLATION = {
         SELECT target, CASE combo WHEN 'text' THEN 'text' WHEN 'stats' THEN 'label_bag' WHEN 'graph' THEN 'structure'
             WHEN 'text-stats' THEN 'full' WHEN 'text-graph' THEN 'masked' END AS variant, seed, macro_f1
         FROM fx_f1 WHERE split = 'test' AND architecture = 'logistic' AND combo <> 'text-stats-graph'
-        UNION ALL SELECT target, 'chance', seed, macro_f1 FROM fx_chance WHERE target <> 'ai_adoption'""",
+        UNION ALL SELECT target, 'chance', seed, macro_f1 FROM fx_chance""",
     "fx_ablation": """
         SELECT target, variant AS item, macro_f1 AS v, false AS paired FROM fx_variant_scores WHERE variant <> 'chance'
         UNION ALL SELECT a.target, concat(a.variant, '-', b.variant), a.macro_f1 - b.macro_f1, true
@@ -369,7 +369,7 @@ def _(c):
     names = F.create_map(*[F.lit(x) for pair in VARIANTS.items() for x in pair])
     mine = scores(c).where("split = 'test' AND architecture = 'logistic' AND combo <> 'text-stats-graph'")
     variants = mine.select("target", names[F.col("combo")].alias("variant"), "seed", "macro_f1")
-    chance = evaluation.chance_baseline(c.splits.where("target <> 'ai_adoption'"))
+    chance = evaluation.chance_baseline(c.splits)
     return rounded(evaluation.ablation_summary(variants, chance, PAIRS))
 
 

@@ -134,7 +134,7 @@ def _(c):
 
 @query(
     "s05_assemble_graphs",
-    """SELECT graph_id, split, domain, CAST(0 AS INTEGER) AS part, nodes, edges
+    """SELECT graph_id, split, domain, nodes, edges
     FROM fx_graphs
     JOIN (SELECT graph_id, string_agg(concat(id, ':', label), ',' ORDER BY id) AS nodes FROM fx_nodes GROUP BY ALL)
         USING (graph_id)
@@ -147,7 +147,6 @@ def _(c):
         "graph_id",
         "split",
         "domain",
-        "part",
         F.array_join(F.transform("nodes", item("id", "_:", "label")), ",").alias("nodes"),
         F.array_join(F.transform("edges", item("source", "_>", "target", "_:", "relation")), ",").alias("edges"),
     )

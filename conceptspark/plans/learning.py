@@ -14,7 +14,7 @@ from conceptspark.plans.vocabulary import bag, modality
 from conceptspark.session import cut_lineage
 
 TARGET = "stance_ambivalence"
-PROBE_SEEDS = SEEDS[:3]
+PROBE_SEEDS = SEEDS
 
 
 def histogram(c):
@@ -48,37 +48,37 @@ def _(c):
 
 @query("m02_random_forest")
 def _(c):
-    return answers(c, "random_forest", "stats", trees=20, depth=6)
+    return answers(c, "random_forest", "stats")
 
 
 @query("m03_gradient_boost")
 def _(c):
-    return answers(c, "gradient_boost", "stats", target="ai_adoption", rounds=10)
+    return answers(c, "gradient_boost", "stats", target="ai_adoption")
 
 
 @query("m04_svm")
 def _(c):
-    return answers(c, "svm", "stats", max_iter=10)
+    return answers(c, "svm", "stats")
 
 
 @query("m05_mlp_single")
 def _(c):
-    return answers(c, "single", "stats", hidden=32, max_iter=30)
+    return answers(c, "single", "stats")
 
 
 @query("m06_mlp_stacked")
 def _(c):
-    return answers(c, "stacked", "text-stats", hidden=32, max_iter=30)
+    return answers(c, "stacked", "text-stats")
 
 
 @query("m07_late_fusion")
 def _(c):
-    return answers(c, "late", "text-stats", hidden=16, max_iter=20)
+    return answers(c, "late", "text-stats")
 
 
 @query("m08_gated_fusion")
 def _(c):
-    return answers(c, "gated", "text-stats", hidden=16, max_iter=20)
+    return answers(c, "gated", "text-stats")
 
 
 # the fusion steps alone, on scores that SQL can derive too
@@ -136,7 +136,7 @@ def _(c):
 @query("m12_run_experiments")
 def _(c):
     wanted = [config(a, combo) for a, combo in (("logistic", "stats"), ("logistic", "text"), ("svm", "text-stats"))]
-    predictions, errors = models.run_experiments(data(c, "text-stats"), labelled(c), wanted, {"svm": {"max_iter": 10}})
+    predictions, errors = models.run_experiments(data(c, "text-stats"), labelled(c), wanted)
     if errors:
         raise RuntimeError(errors[0]["error"])
     return evaluation.macro_f1(predictions, ["target", "combo", "architecture", "seed", "split"])

@@ -29,7 +29,7 @@ def parsed(c):
 
 
 def ids(c):
-    return c.transcripts.where("part = 0").select("transcript_id", "split")
+    return c.transcripts.select("transcript_id", "split")
 
 
 @query("t01_parse_turns", "SELECT transcript_id, split, turn_index, speaker, text FROM fx_turns")
@@ -50,12 +50,12 @@ def _(c):
 
 @query("t03_format_transcript", "SELECT transcript_id, split, formatted FROM fx_formatted")
 def _(c):
-    return transcripts.format_transcript(parsed(c)).drop("part")
+    return transcripts.format_transcript(parsed(c))
 
 
 @query("t04_filter_speaker_text", "SELECT transcript_id, split, human AS formatted FROM fx_formatted")
 def _(c):
-    return transcripts.filter_speaker_text(parsed(c), "Human").drop("part")
+    return transcripts.filter_speaker_text(parsed(c), "Human")
 
 
 @query(

@@ -135,7 +135,7 @@ VIEWS: dict[str, str] = {
         WHERE a.label = b.label OR j.label IS NOT NULL""",
     "fx_label_vectors": f"""
         SELECT d.type, d.label, CAST(e.embedding AS DOUBLE[]) AS vector
-        FROM (SELECT DISTINCT type, label, {h32("concat_ws('|', type, label)")} % 256 AS vec_id FROM fx_nodes) d
+        FROM (SELECT DISTINCT type, label, {h32("concat_ws('|', type, label)")} % (SELECT count(*) FROM embeddings) AS vec_id FROM fx_nodes) d
         JOIN embeddings e USING (vec_id)""",
     "fx_demographics": """
         SELECT transcript_id, label AS ai_adoption,
@@ -183,11 +183,11 @@ VIEWS: dict[str, str] = {
     ),
     "fx_predictions": f"""
         SELECT target, combo, architecture, seed, transcript_id, split, y,
-            CAST(CASE WHEN h < quality THEN y ELSE (y + 1 + h % 2) % 3 END AS INTEGER) AS yhat
+            CAST(CASE WHEN h < quality THEN y WHEN target = 'ai_adoption' THEN 1 - y ELSE (y + 1 + h % 2) % 3 END AS INTEGER) AS yhat
         FROM (SELECT s.target, c.combo, c.architecture, s.seed, s.transcript_id, s.split, s.label AS y, c.quality,
                 {h32("concat_ws('|', s.target, c.combo, c.architecture, s.seed, s.transcript_id)")} % 1000 AS h
               FROM fx_splits s CROSS JOIN fx_configs c
-              WHERE s.split IN ('val', 'test') AND s.target <> 'ai_adoption')""",
+              WHERE s.split IN ('val', 'test'))""",
 }
 
 

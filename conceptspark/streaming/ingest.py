@@ -65,7 +65,8 @@ def stream_quality(
         ).first()
         passed = [m for m in marks if counts["before"] < m <= counts["n"]]
         if passed:
-            checkpoint_report(everything).withColumn("checkpoint", F.lit(passed[-1])).write.mode("overwrite").parquet(
+            crossed = F.explode(F.array(*map(F.lit, passed)))
+            checkpoint_report(everything).withColumn("checkpoint", crossed).write.mode("overwrite").parquet(
                 f"{reports}/batch={batch_id}"
             )
 
