@@ -371,10 +371,13 @@ def jaccard_classes(
     owners = stored(signed.filter("n > 0").groupBy("entity").agg(F.min("number").alias("id")), "owners")
     representatives = signed.filter("prefix is not null").join(owners.select(F.col("id").alias("number")), "number", "left_semi")
     postings = _postings(representatives.select(F.col("number").alias("id"), "n", "prefix"), percent)
-    active = stored(postings.groupBy("id").agg(F.min("token").alias("first_token")), "active")
-    sizes = active.groupBy("first_token").agg(F.ceil(F.count("*") / group_size).alias("splits"))
+    # members of a family share its most held shingle, so they fall into as few groups as their number allows
+    held = postings.groupBy("token").agg(F.count("*").alias("holders"))
+    core = F.max(F.struct("holders", "token"))["token"].alias("core")
+    active = stored(postings.join(held, "token").groupBy("id").agg(core), "active")
+    sizes = active.groupBy("core").agg(F.ceil(F.count("*") / group_size).alias("splits"))
     split = F.pmod(F.xxhash64("id"), F.col("splits"))
-    placed = stored(active.join(sizes, "first_token").select("id", F.xxhash64("first_token", split).alias("grp")), "placed")
+    placed = stored(active.join(sizes, "core").select("id", F.xxhash64("core", split).alias("grp")), "placed")
     sets = stored(_sets(docs, text_col, width, owners.join(placed.select("id"), "id", "left_semi")), "sets")
     inside = placed.join(sets, "id").groupBy("grp").applyInPandas(_connect_group(percent), "id long, class long")
     classes = stored(placed.join(inside, "id").select("id", "grp", "class"), "classes")
