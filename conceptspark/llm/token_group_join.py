@@ -204,22 +204,26 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that at least two entities hold."""
+    """Postings of shingles that at least two entities hold, with the number of holders."""
     holders = F.count("*").over(Window.partitionBy("token"))
-    return postings.withColumn("holders", holders).filter("holders > 1").drop("holders")
+    return postings.withColumn("holders", holders).filter("holders > 1")
 
 
-def _postings(representatives: DataFrame, percent: int) -> DataFrame:
-    """Columns token, id, n: rare shingles that entities share, of entities that share enough of them to have a partner."""
-    found = stored(_shared(representatives.select(F.explode("prefix").alias("token"), "id", "n")), "postings")
-    for _ in range(2):
-        enough = found.groupBy("id", "n").agg(F.count("*").alias("share")).filter(F.col("share") >= _must_share(F.col("n"), percent)).select("id")
-        found = stored(_shared(found.join(enough, "id", "left_semi")), "postings")
-    return found
+def _postings(signed: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """Columns token, id, n, holders: rare shingles that entities share, of entities that share enough of them to have a partner.
+
+    Copies of an entity from other tasks go after the first count, when few postings are left: the long lists of rare shingles are
+    shuffled once, by shingle.
+    """
+    rare = signed.select(F.explode("prefix").alias("token"), F.col("number").alias("id"), "n")
+    owned = _shared(rare).drop("holders").join(owners.select("id"), "id", "left_semi")
+    share = F.count("*").over(Window.partitionBy("id"))
+    enough = owned.withColumn("share", share).filter(F.col("share") >= _must_share(F.col("n"), percent)).drop("share")
+    return stored(_shared(enough), "postings")
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, active: DataFrame) -> DataFrame:
-    """Columns id and shingles: the whole set of the ``active`` entities (entity, id), once each.
+    """Columns id, grp and shingles: the whole set of the ``active`` entities (entity, id, grp), once each.
 
     A filter of fixed size holds back most others before anything is shuffled; the join after it is exact.
     """
@@ -245,7 +249,7 @@ def _sets(docs: DataFrame, text_col: str, width: int, active: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["entity", "shingles"])
 
     rows = _texts(docs, text_col).mapInArrow(emit, "entity binary, shingles array<long>")
-    return rows.join(active, "entity").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return rows.join(active, "entity").groupBy("entity", "id", "grp").agg(F.first("shingles").alias("shingles")).drop("entity")
 
 
 class _Classes:
@@ -277,7 +281,8 @@ def _connect_group(percent: int):
                 if classes.find(a) != classes.find(b) and linked(sets[a], sets[b], percent):
                     classes.join(a, b)
         ids = part["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "class": ids[[classes.find(k) for k in range(len(sets))]]})
+        part["class"] = ids[[classes.find(k) for k in range(len(sets))]]
+        return part[["id", "grp", "class", "shingles"]]
 
     return connect
 
@@ -321,37 +326,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_links(postings: DataFrame, placed: DataFrame, sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links between classes: ``queries`` (id) against every group that holds enough of their rare shingles in another class.
+def _apart(entries: DataFrame, asks: Column) -> DataFrame:
+    """Entries of shingles that several classes hold and that some query holds."""
+    holders = Window.partitionBy("token")
+    bounds = {"low": F.min("class").over(holders), "high": F.max("class").over(holders), "asked": F.max(asks).over(holders)}
+    return stored(entries.withColumns(bounds).filter("low != high and asked").drop(*bounds), "matrix")
+
 
-    ``placed`` has id, grp and class. Of two classes the smaller one asks, so a huge family is searched but never asks itself.
+def _cross_links(entries: DataFrame, asks: Column, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes: entries where ``asks`` is true against every group that holds enough of their shingles in another class.
+
+    ``entries`` has token, id, n, grp, class and rank, ``sets`` has id, grp, class and shingles. Of two ranks the smaller one asks.
     """
-    sizes = placed.groupBy("class").agg(F.count("*").alias("size"))
-    ranked = placed.join(sizes, "class").select("id", "grp", F.struct("size", "class").alias("rank"))
-    entries = postings.join(ranked, "id").select("token", "id", "n", "grp", "rank")
-    apart = entries.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low != high").select("token")
-    entries = stored(entries.join(apart, "token", "left_semi"), "matrix")
-    matrix = entries.groupBy("token", "grp").agg(F.max("rank").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = entries.join(queries, "id", "left_semi").select("token", "id", F.col("n").alias("own"), "rank")
+    matrix = entries.groupBy("token", "grp").agg(
+        F.max("rank").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("class").alias("first"), F.max("class").alias("last"),
+    )
+    asked = entries.filter(asks).select("token", "id", F.col("n").alias("own"), "rank", "class")
     meets = asked.join(matrix, "token").filter(
         (F.col("rank") < F.col("high")) & (100 * F.col("most") >= percent * F.col("own")) & (percent * F.col("least") <= 100 * F.col("own"))
+        & ((F.col("first") != F.col("class")) | (F.col("last") != F.col("class")))
     )
     enough = F.col("share") >= _must_share(F.col("own"), percent)
-    pairs = stored(meets.groupBy("id", "grp", "own").agg(F.count("*").alias("share")).filter(enough).select("id", "grp"), "candidates")
-    chunks = pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
-    own = placed.join(sets, "id").select("id", "shingles", "class", "grp")
-    asking = pairs.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    asking = asking.join(own.drop("grp"), "id").select(
-        F.col("grp").alias("asked_grp"), F.col("chunk").alias("asked_chunk"), F.col("shingles").alias("asked"), F.col("class").alias("asked_class")
-    )
-    members = own.join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunk", "shingles", "class")
+    pairs = meets.groupBy("id", "grp", "own", "class").agg(F.count("*").alias("share")).filter(enough)
+    pairs = stored(pairs.select("id", F.col("grp").alias("asked_grp"), F.col("class").alias("asked_class")), "candidates")
+    chunks = pairs.groupBy("asked_grp").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
+    asking = pairs.join(chunks, "asked_grp").withColumn("asked_chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    asking = asking.join(sets.select("id", F.col("shingles").alias("asked")), "id").select("asked_grp", "asked_chunk", "asked", "asked_class")
+    members = sets.join(chunks.withColumnRenamed("asked_grp", "grp"), "grp")
+    members = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunk", "shingles", "class")
     opened = members.groupBy("grp", "chunk").cogroup(asking.groupBy("asked_grp", "asked_chunk"))
     return opened.applyInPandas(_open_groups(percent), "a long, b long").distinct()
 
 
-def _relabel(placed: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links).withColumnRenamed("node", "class")
-    return stored(placed.join(roots, "class", "left").select("id", "grp", F.coalesce("root", "class").alias("class")), "classes")
+def _relabel(table: DataFrame, roots: DataFrame) -> DataFrame:
+    """``table`` with its class replaced by the root of it; classes without links stay."""
+    roots = roots.withColumnRenamed("node", "class")
+    return table.join(roots, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
 
 
 def jaccard_classes(
@@ -369,23 +380,26 @@ def jaccard_classes(
     order = context.broadcast(_sketch(docs, text_col, width, sketch_bits))
     signed = stored(_signatures(docs, id_col, text_col, width, percent, order, sketch_bits), "signatures")
     owners = stored(signed.filter("n > 0").groupBy("entity").agg(F.min("number").alias("id")), "owners")
-    representatives = signed.filter("prefix is not null").join(owners.select(F.col("id").alias("number")), "number", "left_semi")
-    postings = _postings(representatives.select(F.col("number").alias("id"), "n", "prefix"), percent)
+    postings = _postings(signed, owners, percent)
     # members of a family share its most held shingle, so they fall into as few groups as their number allows
-    held = postings.groupBy("token").agg(F.count("*").alias("holders"))
     core = F.max(F.struct("holders", "token"))["token"].alias("core")
-    active = stored(postings.join(held, "token").groupBy("id").agg(core), "active")
+    active = stored(postings.groupBy("id").agg(core), "active")
     sizes = active.groupBy("core").agg(F.ceil(F.count("*") / group_size).alias("splits"))
     split = F.pmod(F.xxhash64("id"), F.col("splits"))
     placed = stored(active.join(sizes, "core").select("id", F.xxhash64("core", split).alias("grp")), "placed")
-    sets = stored(_sets(docs, text_col, width, owners.join(placed.select("id"), "id", "left_semi")), "sets")
-    inside = placed.join(sets, "id").groupBy("grp").applyInPandas(_connect_group(percent), "id long, class long")
-    classes = stored(placed.join(inside, "id").select("id", "grp", "class"), "classes")
-    # one query per class connects what is alike, then every member asks the groups that still hold other classes
-    for everyone in (False, True):
-        queries = classes.select("id") if everyone else classes.select(F.col("class").alias("id")).distinct()
-        classes = _relabel(classes, _cross_links(postings, classes, sets, queries, percent))
-    known = signed.select("key", "n", "entity").join(owners, "entity", "left").join(classes.select("id", "class"), "id", "left")
+    sets = _sets(docs, text_col, width, owners.join(placed, "id"))
+    sets = stored(sets.groupBy("grp").applyInPandas(_connect_group(percent), "id long, grp long, class long, shingles array<long>"), "sets")
+    classes = sets.select("id", "class")
+    # the smaller of two first classes asks, so a huge family is searched but never asks itself; the order holds for both rounds
+    members = classes.groupBy("class").agg(F.count("*").alias("size"))
+    ranked = sets.select("id", "grp", "class").join(members, "class").select("id", "grp", "class", F.struct("size", "class").alias("rank"))
+    entries = _apart(postings.drop("holders").join(ranked, "id"), F.lit(True))
+    # one query per class connects what is alike, then its other members ask the groups that still hold other classes
+    leads = F.col("id") == F.col("rank.class")
+    roots = components(_cross_links(entries, leads, sets, percent))
+    later = components(_cross_links(_apart(_relabel(entries, roots), ~leads), ~leads, _relabel(sets, roots), percent))
+    classes = _relabel(_relabel(classes, roots), later)
+    known = signed.select("key", "n", "entity").join(owners, "entity", "left").join(classes, "id", "left")
     known = stored(known.select("key", "n", F.coalesce("class", "id").alias("class")), "classed")
     lowest = known.filter("n > 0").groupBy("class").agg(F.min("key").alias("lowest"))
     result = known.join(lowest, "class", "left")
