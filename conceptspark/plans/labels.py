@@ -261,10 +261,9 @@ REQUESTS = {
             CAST(concat('0x', substr(md5(concat('42|', transcript_id)), 1, 2)) AS INTEGER) % 2 = 0 AS a_first
         FROM fx_both_labels WHERE la <> lb""",
     "fx_request_text": r"""
-        SELECT *, concat('Label: ', la, E'\nReasoning: reason a\nSupporting quotes:\n',
-                CASE WHEN transcript_id % 4 = 0 THEN '  (none provided)' ELSE concat('  - a', transcript_id % 10) END) AS ta,
-            concat('Label: ', lb, E'\nReasoning: reason b\nSupporting quotes:\n',
-                CASE WHEN transcript_id % 4 = 0 THEN '  (none provided)' ELSE concat('  - b', transcript_id % 10) END) AS tb
+        SELECT *,
+            concat(la, ', because: reason a [evidence: ', CASE WHEN transcript_id % 4 = 0 THEN 'none' ELSE concat('a', transcript_id % 10) END, ']') AS ta,
+            concat(lb, ', because: reason b [evidence: ', CASE WHEN transcript_id % 4 = 0 THEN 'none' ELSE concat('b', transcript_id % 10) END, ']') AS tb
         FROM fx_request_order""",
 }
 
@@ -278,7 +277,7 @@ def requests(c):
     "l05_judge_requests",
     r"""SELECT transcript_id, CASE WHEN a_first THEN 'model_a' ELSE 'model_b' END AS model_for_a,
         CASE WHEN a_first THEN 'model_b' ELSE 'model_a' END AS model_for_b,
-        concat(E'Annotator A:\n', CASE WHEN a_first THEN ta ELSE tb END, E'\n\nAnnotator B:\n',
+        concat('A = ', CASE WHEN a_first THEN ta ELSE tb END, E'\nB = ',
             CASE WHEN a_first THEN tb ELSE ta END) AS request FROM fx_request_text""",
     REQUESTS,
 )
