@@ -30,20 +30,17 @@ def text_features(texts: DataFrame, column: str = "formatted", dim: int = 256) -
 def label_bag(nodes: DataFrame, label_vectors: DataFrame, graphs: DataFrame, dim: int) -> DataFrame:
     """(graph_id, features): mean of the unit label vectors of all nodes; no nodes gives the zero vector.
 
-    Nodes are first counted per (graph, label): a graph then has at most one row per label, however many nodes, and
-    can be brought together before the wide vectors are attached. With a vocabulary small enough to be broadcast
-    the vectors never cross a shuffle.
+    ``label_vectors`` has one vector per (type, label); a NULL label is the empty one on both sides. A node whose label has no
+    vector is an error. Vectors are added up map-side, and the nodes of a graph lie together as they were read: with a vocabulary
+    small enough to be broadcast only sums cross a shuffle, and a graph of any size is a few rows of them.
     """
-    named = (
-        nodes.groupBy("graph_id", "type", F.coalesce("label", F.lit("")).alias("label"))
-        .agg(F.count("*").alias("_n"))
-        .repartition("graph_id")
-    )
-    unit = label_vectors.select("type", "label", normalised(F.col("vector")).alias("_u"))
-    sums = (
-        named.join(unit, ["type", "label"])
-        .groupBy("graph_id")
-        .agg(F.sum("_n").alias("_all"), *[F.sum(F.get("_u", F.lit(i)) * F.col("_n")).alias(f"_s{i}") for i in range(dim)])
+    label = F.coalesce("label", F.lit("")).alias("label")
+    unit = label_vectors.select("type", label, normalised(F.col("vector")).alias("_u"))
+    named = nodes.select("graph_id", "type", label).join(unit, ["type", "label"], "left")
+    lacking = F.raise_error(F.concat_ws(" ", F.lit("no vector for label"), "type", "label"))
+    known = named.select("graph_id", F.coalesce("_u", lacking).alias("_u"))
+    sums = known.groupBy("graph_id").agg(
+        F.count("*").alias("_all"), *[F.sum(F.get("_u", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
     )
     zero = F.array_repeat(F.lit(0.0), dim)
     mean = F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dim)])

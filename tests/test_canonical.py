@@ -97,6 +97,16 @@ def test_empty_graph_has_zero_label_bag(spark):
     assert got[1] == pytest.approx([2 / 3, 1 / 3])
 
 
+def test_label_bag_keeps_every_node(spark):
+    nodes = spark.createDataFrame([(1, "t", None), (1, "t", "a"), (2, "t", "")], "graph_id long, type string, label string")
+    vectors = spark.createDataFrame([("t", None, [0.0, 2.0]), ("t", "a", [1.0, 0.0])], "type string, label string, vector array<double>")
+    graphs = nodes.select("graph_id").distinct()
+    got = {r["graph_id"]: r["features"] for r in embeddings.label_bag(nodes, vectors, graphs, 2).collect()}
+    assert got == {1: [0.5, 0.5], 2: [0.0, 1.0]}
+    with pytest.raises(Exception, match="no vector for label t a"):
+        embeddings.label_bag(nodes, vectors.where("label IS NULL"), graphs, 2).collect()
+
+
 def test_gaps_are_errors(spark):
     ids = spark.range(5).withColumnRenamed("id", "transcript_id")
     with pytest.raises(ValueError, match="3"):
