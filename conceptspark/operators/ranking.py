@@ -18,13 +18,6 @@ def hash_order(seed, key) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed).cast("string") if not isinstance(seed, Column) else seed.cast("string"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
 
 
-def value_bucket(value: str | Column) -> Column:
-    """Order-preserving coarse key of a number: a bucket spans 0.3 % of the value, zero has its own."""
-    v = F.col(value).cast("double") if isinstance(value, str) else value.cast("double")
-    coarse = F.lit(1 << 20) + F.floor(F.log2(F.abs(v)) * 256)
-    return F.when(v == 0, F.lit(0)).when(v > 0, coarse).otherwise(-coarse).cast("long")
-
-
 def _with_offset(df: DataFrame, keys: list[str], bucket: str, weight: Column) -> DataFrame:
     """Attach ``_before``: the weight of all earlier buckets of the same keys (bounded bucket table)."""
     sizes = df.groupBy(*keys, bucket).agg(F.sum(weight).alias("_w"))
@@ -44,26 +37,28 @@ def rank_by_hash(df: DataFrame, keys: list[str], order: str, name: str = "rank",
     )
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_bucket``: ranges of ``order`` taken from the data, which also splits a hot key and a narrow span of values.
+
+    The rows are written once, so that the bucket of a row stays fixed when tasks are retried.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
+
+
 def running_total(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``weight`` by ascending numeric ``value``; one row per (keys, value)."""
-    bucketed = df.withColumn("_bucket", value_bucket(value))
-    inner = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """Inclusive running sum of ``weight`` by ascending ``value``; one row per (keys, value), rows of a NULL value go."""
+    ranged = _ranged(df.where(F.col(value).isNotNull()), [*keys, value])
+    inner = W.partitionBy("_bucket", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        _with_offset(bucketed, keys, "_bucket", F.col(weight))
+        _with_offset(ranged, keys, "_bucket", F.col(weight))
         .withColumn(name, F.sum(weight).over(inner) + F.col("_before"))
         .drop("_bucket", "_before")
     )
 
 
 def rank_by_range(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """1-based position inside ``keys`` for any sortable ``order``.
-
-    Rows are range-partitioned on keys and order, which also splits a hot key, and written once so that
-    the partition number of a row stays fixed when tasks are retried.
-    """
-    ranged = cut_lineage(
-        df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id())
-    )
+    """1-based position inside ``keys`` for any sortable ``order``."""
+    ranged = _ranged(df, [*keys, *order])
     inner = W.partitionBy("_bucket", *keys).orderBy(*order)
     return (
         _with_offset(ranged, keys, "_bucket", F.lit(1))

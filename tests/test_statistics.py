@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conceptspark.functions import stats
 from conceptspark.operators import evaluation, hypothesis, labels, ranking
@@ -70,6 +71,13 @@ def test_all_equal_values_have_no_spread(spark):
     assert hypothesis.eta_squared(df).first()["eta_squared"] == 0
 
 
+def test_running_total_spreads_a_narrow_span(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), (1 + F.col("id") / 1e6).alias("v"), F.lit(1).alias("w"))
+    df = df.unionByName(spark.createDataFrame([("k", None, 1)], df.schema))
+    got = ranking.running_total(df, ["k"], "v", "w", "t")
+    assert [r["t"] for r in got.orderBy("v").collect()] == list(range(1, 2001))
+
+
 def test_running_total_over_many_buckets(spark):
     rng = random.Random(3)
     values = sorted({rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 6) for _ in range(500)} | {0.0})
