@@ -227,7 +227,8 @@ def run_experiments(
 
     def attempt(config):
         try:
-            return run_experiment(data, splits, config, options), None
+            # written here, so that a failure while scoring is this configuration's too
+            return cut_lineage(run_experiment(data, splits, config, options)), None
         except Exception as error:  # one bad configuration must not end the sweep
             return None, {**config, "error": str(error)}
 

@@ -82,15 +82,20 @@ def stream_quality(
 def stream_upsert(
     spark: SparkSession, source: str, schema, store: str, state: str, key: str = "transcript_id", files_per_batch: int = 50
 ) -> StreamingQuery:
-    """Write only ids not stored before; within a batch one row per id. A replayed batch rewrites itself."""
+    """Write only ids not stored before; within a batch the first record of an id by file name and line stays.
+
+    A replayed batch rewrites itself.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        values = [c for c in batch.columns if c != key]
+        values = [c for c in batch.columns if c not in (key, "_file", "_block")]
+        arrival = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
         fresh = (
-            batch.where(F.col(key).isNotNull())
+            batch.withColumn("_arrival", arrival)
+            .where(F.col(key).isNotNull())
             .groupBy(key)
-            .agg(F.min(F.struct(*values)).alias("_r"))
+            .agg(F.min_by(F.struct(*values), "_arrival").alias("_r"))
             .select(key, *[f"_r.{c}" for c in values])
         )
         if batch_id > 0:
@@ -99,6 +104,8 @@ def stream_upsert(
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    arriving = arriving.select("*", *place)
     return (
         arriving.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", state)

@@ -72,6 +72,17 @@ def test_upsert_survives_more_files_and_a_restart(spark, tmp_path):
     assert spark.read.parquet(store).count() == 3
 
 
+def test_upsert_keeps_the_first_record_of_a_batch(spark, tmp_path):
+    source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.json").write_text('{"transcript_id": "1", "label": "a"}\n{"transcript_id": "2", "label": "z"}\n{"transcript_id": "2", "label": "b"}')
+    (tmp_path / "in" / "a.json").write_text('{"transcript_id": "1", "label": "m"}')
+    ingest.stream_upsert(spark, source, CACHE, store, state, files_per_batch=2).awaitTermination()
+    rows = spark.read.parquet(store)
+    assert {r["transcript_id"]: r["label"] for r in rows.collect()} == {"1": "m", "2": "z"}
+    assert set(rows.columns) == {*CACHE.fieldNames(), "batch"}
+
+
 def test_quality_checkpoints(spark, tmp_path):
     (tmp_path / "in").mkdir()
     bad = {"id": "x", "type": "Stance"}
