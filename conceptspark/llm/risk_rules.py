@@ -4,7 +4,9 @@ Each rule rejects a text whose measure lies above a cutoff. Cutoffs are chosen p
 the mildest, a cutoff is accepted as long as an exact binomial test shows that the share of good documents above it is below the
 rule's part of the allowed false rejection. The sequence stops at its first failure, which needs no further correction; over rules and
 strata the error level is divided (Bonferroni). So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good
-documents to the rules. A stratum with too few labels to prove that gets no cutoff, and the rules keep its documents.
+documents to the rules. A stratum with too few labels to prove anything takes the cutoffs of the pool of all strata, one more stratum
+in the correction: for these the promise holds for the pool, and a cutoff is raised until at most the rule's part of ``alpha`` of the
+stratum's own labelled good documents lies above. A stratum without labelled good documents has no cutoff, and the rules keep its documents.
 """
 
 from __future__ import annotations
@@ -108,6 +110,15 @@ def pick_cutoff(levels: np.ndarray, counts: np.ndarray, alpha: float, delta: flo
     return cutoff, above, n
 
 
+def borrow_cutoff(levels: np.ndarray, counts: np.ndarray, pooled: int, alpha: float) -> tuple[int, int, int]:
+    """The pool's cutoff, raised until no more than the share ``alpha`` of these good documents lies above it; as :func:`pick_cutoff`."""
+    hist = np.bincount(levels, counts, STEPS + 1).astype(np.int64)
+    n, cutoff = int(hist.sum()), pooled
+    while hist[cutoff + 1 :].sum() > alpha * n:
+        cutoff += 1
+    return cutoff, int(hist[cutoff + 1 :].sum()), n
+
+
 def select_cutoffs(
     measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA,
 ) -> DataFrame:
@@ -125,15 +136,28 @@ def select_cutoffs(
     parts = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES]))
     counted = held.select(stratum, parts.alias("part")).groupBy(stratum, "part.rule", "part.level").agg(F.count("*").alias("n"))
     strata = counted.select(stratum).distinct().agg(F.count("*").alias("n_strata"))
-    counted = counted.withColumn("one", F.lit(1)).join(strata.withColumn("one", F.lit(1)), "one")
+    pool = counted.groupBy("rule", "level").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)).join(strata.withColumn("one", F.lit(1)), "one")
     n_rules = len(RULES)
 
+    def level_of(part: pd.DataFrame) -> float:
+        # every stratum and, besides more than one, their pool
+        n_strata = int(part["n_strata"].iloc[0])
+        return delta / (n_rules * (n_strata + (n_strata > 1)))
+
+    def choose_pooled(part: pd.DataFrame) -> pd.DataFrame:
+        cutoff, _, _ = pick_cutoff(part["level"].to_numpy(), part["n"].to_numpy(), alpha / n_rules, level_of(part))
+        return pd.DataFrame({"rule": [part["rule"].iloc[0]], "pooled": [cutoff], "n_strata": [part["n_strata"].iloc[0]]})
+
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        level = delta / (n_rules * int(part["n_strata"].iloc[0]))
-        cutoff, above, n = pick_cutoff(part["level"].to_numpy(), part["n"].to_numpy(), alpha / n_rules, level)
+        levels, counts, error = part["level"].to_numpy(), part["n"].to_numpy(), level_of(part)
+        if below(0, int(counts.sum()), alpha / n_rules) <= error:
+            cutoff, above, n = pick_cutoff(levels, counts, alpha / n_rules, error)
+        else:
+            cutoff, above, n = borrow_cutoff(levels, counts, int(part["pooled"].iloc[0]), alpha / n_rules)
         return pd.DataFrame({"stratum": [part[stratum].iloc[0]], "rule": [part["rule"].iloc[0]], "cutoff": [cutoff], "above": [above], "n_good": [n]})
 
-    chosen = counted.groupBy(stratum, "rule").applyInPandas(choose, "stratum string, rule string, cutoff long, above long, n_good long")
+    pooled = pool.groupBy("rule").applyInPandas(choose_pooled, "rule string, pooled long, n_strata long")
+    chosen = counted.join(pooled, "rule").groupBy(stratum, "rule").applyInPandas(choose, "stratum string, rule string, cutoff long, above long, n_good long")
     return chosen.groupBy("stratum").agg(
         F.max("n_good").alias("n_good"),
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES],

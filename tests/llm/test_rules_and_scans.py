@@ -74,6 +74,23 @@ def test_rules_end_to_end(spark):
     assert risk_rules.verdict(risk_rules.measure(risk_rules.stratified(empty(spark)), ["doc_id", "stratum"]), none).count() == 0
 
 
+def test_small_strata_take_the_cutoff_of_the_pool(spark):
+    rng = random.Random(3)
+    text = lambda form: " ".join(form.format(rng.randrange(10**6)) for _ in range(60))
+    # 1,800 good documents in all, in no language enough; one language uses symbols in its good documents too
+    rows = [(k, text("word{}"), ["de", "fr", "es"][k % 3]) for k in range(1770)] + [(k, text("#{}#"), "xx") for k in range(1770, 1800)]
+    rows += [(2000 + k, text("### {} &&&"), lang) for k, lang in enumerate(["de", "fr", "es", "xx", "zz"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(1800)], "doc_id long, quality int, toxic int")
+    measured = risk_rules.measure(risk_rules.stratified(docs), ["doc_id", "stratum"])
+    cutoffs = risk_rules.select_cutoffs(measured, labels, alpha=0.02)
+    assert {r.stratum: r.n_good for r in cutoffs.collect()} == {"de": 590, "fr": 590, "es": 590, "xx": 30}
+    kept = {r.doc_id: r.kept for r in risk_rules.verdict(measured, cutoffs).collect()}
+    assert all(kept[k] for k in range(1800)) and not any(kept[k] for k in range(2000, 2004)) and kept[2004]
+    assert risk_rules.borrow_cutoff(np.array([0, 300]), np.array([5, 5]), 100, 0.01) == (300, 0, 10)
+    assert risk_rules.borrow_cutoff(np.array([0, 300]), np.array([199, 1]), 100, 0.01) == (100, 1, 200)
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     rng = random.Random(4)
