@@ -25,7 +25,6 @@ RANKS = "byte_bpe_50k.tiktoken"
 WINDOW = 1024
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 
 PIECE = [long("start"), long("length"), long("ids_crc32"), long("doc_tokens"), long("sequence_id"), long("offset")]
@@ -53,7 +52,7 @@ def byte_encoder(json_path: str, ranks_path: str):
 class Index:
     """BM25 inverted index over bags of token ids."""
 
-    def __init__(self, bags: list[np.ndarray], query_terms: int):
+    def __init__(self, bags: list[np.ndarray], query_terms: int | None = None):
         counted = [np.unique(b, return_counts=True) for b in bags]
         sizes = np.array([len(t) for t, _ in counted], np.int64)
         terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
@@ -69,7 +68,7 @@ class Index:
         self.pointer = np.concatenate([[0], np.cumsum(df)])
         self.n = len(bags)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        # the query of a document: its terms that others share, the most telling first
+        # the query of a document: all its terms that others share, the most telling first, unless ``query_terms`` cuts it
         self.queries = []
         for k in range(len(bags)):
             own, weights = terms[at[k] : at[k + 1]], weight[at[k] : at[k + 1]]
@@ -91,7 +90,7 @@ class Index:
         return hits[np.argsort(-scores[hits], kind="stable")]
 
 
-def pack_shard(lengths: list[int], bags: list[np.ndarray], window: int, query_terms: int) -> list[list[tuple[int, int, int]]]:
+def pack_shard(lengths: list[int], bags: list[np.ndarray], window: int, query_terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of one shard as lists of (document, start, length); every position lies in exactly one."""
     windows = []
     start = [n - n % window for n in lengths]
@@ -146,7 +145,7 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None,
-    window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS,
+    window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = None,
     end_id: int = 0, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of a document in a window: id, start, length, crc32 of its ids, the document's ids in all,
