@@ -2,6 +2,9 @@
 
 Sections end at blank lines, paragraphs at line ends, leaves at sentence ends. A node's hash is the SHA-256 of its children's hashes, so
 equal roots mean equal texts, and where two trees differ the differing branches say which sections and paragraphs were edited.
+
+Below the sentences lies one more level: a sentence longer than ``PIECE_CHARS`` is cut into pieces at places that its own words choose, so
+that long texts without sentence ends can be compared and located too. Roots and leaves do not depend on it.
 """
 
 from __future__ import annotations
@@ -10,6 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAF_HEX = 8
+#: a sentence up to this length is one piece, and no piece is longer
+PIECE_CHARS = 128
+#: one word in so many ends a piece
+PIECE_WORDS = 8
+#: a run of letters and digits of bounded length with the sign after it, or one other sign
+PIECE_TOKEN = r"(?s)[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]]{1,32}[^\p{L}\p{N}]?|."
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 100_000
 
@@ -39,6 +48,39 @@ def leaves(nodes: Column) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.flatten(nodes)), lambda q: F.left(q, F.lit(LEAF_HEX))))
 
 
+def _cut(sentence: Column) -> Column:
+    """The pieces of a sentence. A word whose hash fits ends a piece; where none fits for long, the piece ends at its full length."""
+    words = F.regexp_extract_all(sentence, F.lit(PIECE_TOKEN), F.lit(0))
+    marked = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PIECE_WORDS)) == 0, F.concat(w, F.lit("\0"))).otherwise(w))
+    bounded = F.transform(F.split(F.array_join(marked, ""), "\0"), lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)))
+    return F.when(F.length(sentence) > PIECE_CHARS, F.flatten(bounded)).otherwise(F.array(sentence))
+
+
+def piece_tree(text: Column) -> Column:
+    """Short hashes of the pieces as an array of sections of paragraphs of leaves of pieces, shaped like :func:`tree` down to the leaves."""
+    pieces = lambda q: F.transform(_cut(q), lambda x: F.left(F.sha2(x, 256), F.lit(LEAF_HEX)))
+    leaves_of = lambda p: F.transform(F.split(p, r"\. "), pieces)
+    paragraphs = lambda s: F.transform(F.split(s, "\n"), leaves_of)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), paragraphs)
+
+
+def pieces(nodes: Column) -> Column:
+    """Distinct short hashes of a :func:`piece_tree`."""
+    return F.array_distinct(F.flatten(F.flatten(F.flatten(nodes))))
+
+
+def edited_pieces(own: Column, other: Column) -> Column:
+    """Indexes (section, paragraph, leaf, piece) of pieces of the tree ``own`` that the tree ``other`` does not have."""
+    known = pieces(other)
+    found = F.transform(own, lambda s, i: F.flatten(F.transform(s, lambda p, k: F.flatten(F.transform(p, lambda q, m: F.filter(
+        F.transform(q, lambda x, n: F.when(~F.array_contains(known, x), F.struct(
+            i.alias("section"), k.alias("paragraph"), m.alias("leaf"), n.alias("piece"),
+        ))),
+        lambda x: x.isNotNull(),
+    ))))))
+    return F.flatten(found)
+
+
 def likeness(own: Column, other: Column) -> Column:
     """Share of distinct leaves that two trees have in common, from their :func:`leaves`."""
     common = F.size(F.array_intersect(own, other))
@@ -103,6 +145,7 @@ def _window(by: str | None, *order: str):
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text, the text with its last half replaced from the next document's start, and compare.
 
+    ``near_edited`` and ``near_next`` count leaves, ``near_edited_pieces`` and ``near_next_pieces`` the pieces below them.
     One row per input row. Null texts are empty (0 code points, an edited text that is empty too). Repeated rows and ids are rows of their
     own; ties by text. A single row is its own next. Other columns are not read; an empty table gives an empty table.
     """
@@ -112,12 +155,16 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     trees = rows.withColumn("edited", edited).select(
         id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text_in")).alias("own"),
         tree(F.col("edited")).alias("changed"), tree(F.col("next_text")).alias("following"),
+        *[pieces(piece_tree(F.col(c))).alias(f"{c}_pieces") for c in ("text_in", "edited", "next_text")],
     )
     marked = trees.select(
         id_col, "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         leaves(F.col("own")).alias("own"), leaves(F.col("changed")).alias("changed"), leaves(F.col("following")).alias("following"),
+        "text_in_pieces", "edited_pieces", "next_text_pieces",
     )
     return marked.select(
         id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        likeness(F.col("text_in_pieces"), F.col("edited_pieces")).alias("near_edited_pieces"),
+        likeness(F.col("text_in_pieces"), F.col("next_text_pieces")).alias("near_next_pieces"),
     )

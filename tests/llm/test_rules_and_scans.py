@@ -216,6 +216,26 @@ def test_edited_branches_locate_the_edit(spark):
     assert [tuple(b) for b in found] == [(0, 1)]
 
 
+def test_long_texts_without_sentence_ends_have_pieces(spark):
+    rng = random.Random(9)
+    texts = [
+        " ".join(f"w{rng.randrange(3000)}" for _ in range(400)), "again " * 400, "x" * 3000, "#$%&|<> " * 200, "!".join(f"so it is {k}" for k in range(200)),
+        "。".join("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30)) for _ in range(40)), "a\0b \U0001f600" * 100,
+    ]
+    rows = [(2 * k, t) for k, t in enumerate(texts)] + [(2 * k + 1, f"other text {k} " + "unlike " * 500) for k in range(len(texts))]
+    found = {r.doc_id: r for r in merkle.compare_edited(docs_of(spark, rows)).collect()}
+    assert all(found[2 * k].near_edited == 0 and found[2 * k].near_edited_pieces > 0 for k in range(len(texts)))
+    assert all(found[2 * k].near_next_pieces == 0 for k in range(len(texts)))
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", merkle._cut(F.col("t")).alias("x")).collect()
+    assert all("".join(r.x).replace("\0", "") == r.t.replace("\0", "") and max(map(len, r.x)) <= merkle.PIECE_CHARS for r in cut)
+    # an edit shows in few pieces, and inserted words do not move the cuts after them
+    own = texts[0]
+    pair = spark.createDataFrame([(own[:900] + "inserted words " + own[900:], own)], "own string, other string")
+    trees = [merkle.piece_tree(F.col(c)) for c in ("own", "other")]
+    found = pair.select(merkle.edited_pieces(*trees).alias("x"), F.size(merkle.pieces(trees[0])).alias("n")).first()
+    assert 1 <= len(found.x) <= 4 and found.n > 20 and all(tuple(b)[:3] == (0, 0, 0) for b in found.x)
+
+
 def test_fingerprint_plan_is_native(spark, capsys):
     merkle.compare_edited(docs_of(spark, [(1, "a"), (2, "b")])).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
