@@ -2,7 +2,8 @@
 
 The family of a text is predicted first, by one linear model per family against the rest; then linear support vector
 machines, one for each pair of languages of that family, vote. Features are hashed byte n-grams of the whole lower-cased
-text. Training uses a bounded sample of labelled rows per language; prediction covers every row.
+text. Training uses a bounded sample of labelled rows per language; prediction covers every row. Few languages are trained on the
+driver, more as one grouped task for each family and each pair, from the same sample to the same machines.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conceptspark.llm.common import double, per_text, string
+from conceptspark.llm.common import boolean, double, per_text, stored, string
+from conceptspark.operators.joins import join_counted
 
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -71,24 +74,50 @@ class Hierarchy:
 
     def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]], epochs: int = EPOCHS):
         lang = np.array(langs, object)
-        home = {code: name for name, codes in families.items() for code in codes}
-        self.members: dict[str, list[str]] = {}
-        for code in sorted(set(langs)):
-            self.members.setdefault(home.get(code, code), []).append(code)
-        self.names = sorted(self.members)
-        family = np.array([home.get(code, code) for code in langs], object)
+        home = self._lay_out(sorted(set(langs)), families)
+        family = np.array([home[code] for code in langs], object)
         rests = [train_svm(x, np.where(family == f, 1, -1), epochs) for f in self.names] if len(self.names) > 1 else []
         self.family_weights = np.array(rests, np.float32)
-        self.pairs: dict[str, list[tuple[int, int]]] = {}
-        self.pair_weights: dict[str, np.ndarray] = {}
         for f, codes in self.members.items():
-            self.pairs[f] = list(combinations(range(len(codes)), 2))
             rows = []
             for a, b in self.pairs[f]:
                 of_pair = (lang == codes[a]) | (lang == codes[b])
                 rows.append(train_svm(x[of_pair], np.where(lang[of_pair] == codes[a], 1, -1), epochs))
             self.pair_weights[f] = np.array(rows, np.float32)
 
+    def _lay_out(self, codes: list[str], families: dict[str, tuple[str, ...]]) -> dict[str, str]:
+        """Members of each family and their pairs; returns the family of each language."""
+        home = {code: name for name, listed in families.items() for code in listed}
+        self.members: dict[str, list[str]] = {}
+        for code in codes:
+            self.members.setdefault(home.get(code, code), []).append(code)
+        self.names = sorted(self.members)
+        self.pairs = {f: list(combinations(range(len(listed)), 2)) for f, listed in self.members.items()}
+        self.pair_weights: dict[str, np.ndarray] = {}
+        return {code: home.get(code, code) for code in codes}
+
+    @classmethod
+    def from_tasks(cls, sample: DataFrame, codes: list[str], families: dict[str, tuple[str, ...]], epochs: int = EPOCHS) -> Hierarchy:
+        """The same machines from rows (lang, draw, vector), each trained in a task of its own; only weights reach the driver."""
+        own = cls.__new__(cls)
+        home = own._lay_out(codes, families)
+        spark = sample.sparkSession
+        machines = [(f, -1, -1, c, 1 if home[c] == f else -1) for f in own.names for c in codes] if len(own.names) > 1 else []
+        machines += [(f, a, b, listed[k], 1 if k == a else -1) for f, listed in own.members.items() for a, b in own.pairs[f] for k in (a, b)]
+        sides = spark.createDataFrame(machines, "family string, a long, b long, lang string, side long")
+
+        def train(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["lang", "draw", "vector"])
+            x = np.array([np.frombuffer(v, np.float32) for v in part["vector"]])
+            weights = train_svm(x, part["side"].to_numpy(), epochs).tobytes()
+            return pd.DataFrame({"family": [part["family"].iloc[0]], "a": [part["a"].iloc[0]], "b": [part["b"].iloc[0]], "weights": [weights]})
+
+        rows = join_counted(sample, sides, ["lang"]).groupBy("family", "a", "b").applyInPandas(train, "family string, a long, b long, weights binary")
+        found = {(r["family"], r["a"], r["b"]): np.frombuffer(r["weights"], np.float32) for r in rows.collect()}
+        own.family_weights = np.array([found[f, -1, -1] for f in own.names] if len(own.names) > 1 else [], np.float32)
+        own.pair_weights = {f: np.array([found[f, a, b] for a, b in own.pairs[f]], np.float32) for f in own.members}
+        return own
+
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """Language and a confidence between 0 and 1: how clear the family and the language's duels were."""
         x = np.append(x, np.float32(1))
@@ -121,35 +150,36 @@ def fit(
 ) -> Hierarchy | None:
     """Train on rows with text and language for which ``usable`` holds; None if there are none.
 
-    Per language the ``rows_per_language`` rows with the smallest hash of id and length are taken, ties by their vectors. Only
-    these rows' feature vectors reach the driver. More than ``max_languages`` languages are an error.
+    Per language the ``rows_per_language`` rows with the smallest hash of id and length are taken, ties by their vectors. Up to
+    ``max_languages`` languages these rows' feature vectors reach the driver, with more only the counts and the trained weights.
     """
     docs = docs.select(
         F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang"),
         (F.lit(True) if usable is None else usable).alias("usable"),
     )
     known = docs.filter("usable and text is not null and lang is not null").withColumn("draw", F.xxhash64("key", F.length("text")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
     # somewhat more than the wanted share by hash, cut to the exact number per language afterwards
-    share = {r["lang"]: min(1.0, (1.3 * rows_per_language + 50) / r["n"]) for r in counts}
-    pick = F.lit(False)
-    for code, part in share.items():
-        limit = min(int((2 * part - 1) * 2**63), 2**63 - 1)
-        pick = pick | ((F.col("lang") == code) & (F.col("draw") <= limit))
+    share = {r["lang"]: (1.3 * rows_per_language + 50) / r["n"] for r in counts}
+    limits = [F.lit(x) for code, part in share.items() if part < 1 for x in (code, int((2 * part - 1) * 2**63))]
+    pick = F.col("draw") <= F.coalesce(F.create_map(*limits)[F.col("lang")], F.lit(2**63 - 1)) if limits else F.lit(True)
     sample = per_text(
         known.filter(pick), lambda: lambda texts: [[features(t or "", bits).tobytes() for t in texts]], [_vector()], "text", ["lang", "draw"]
     )
+    listed = FAMILIES if families is None else families
+    if len(counts) > max_languages:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "vector"))
+        exact = sample.withColumn("place", place).filter(F.col("place") <= rows_per_language).drop("place")
+        return Hierarchy.from_tasks(stored(exact, "language_sample"), sorted(share), listed)
     rows = sorted(((r["lang"], r["draw"], r["vector"]) for r in sample.collect()))
     kept, seen = [], {}
     for code, _, vector in rows:
         seen[code] = seen.get(code, 0) + 1
         if seen[code] <= rows_per_language:
             kept.append((code, np.frombuffer(vector, np.float32)))
-    return Hierarchy(np.array([v for _, v in kept]), [c for c, _ in kept], FAMILIES if families is None else families)
+    return Hierarchy(np.array([v for _, v in kept]), [c for c, _ in kept], listed)
 
 
 def _vector():
@@ -158,13 +188,18 @@ def _vector():
     return T.StructField("vector", T.BinaryType())
 
 
+def has_language(docs: DataFrame, keep: list[str], text_col: str = "text", field: str = "has_language") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and whether the text has a letter: by the text alone, just when any model would not say ``und``."""
+    return per_text(docs, lambda: lambda texts: [[bool(t) and any(map(str.isalpha, t)) for t in texts]], [boolean(field)], text_col, keep)
+
+
 def predict(
     docs: DataFrame, model: Hierarchy | None, keep: list[str], text_col: str = "text", bits: int = BITS,
     lang_field: str = "lang_pred", score_field: str = "score",
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the predicted language of each whole text and its score.
 
-    A null text, a text without a letter, or a missing model (nothing to learn from) gives ``und`` with score 0. Texts of one word and
+    A null text, a text without a letter, or a missing model (nothing to learn from; see :func:`has_language`) gives ``und`` with score 0. Texts of one word and
     very long texts are predicted like any other, equal texts alike. An empty table gives an empty table.
     """
 

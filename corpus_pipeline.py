@@ -25,8 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language: those predicted ``und`` go. Nothing is learned from other tables."""
+    """Rows whose text has a language: those predicted ``und`` go. Nothing is learned from other tables.
+
+    Without any labelled row there is no model; the texts alone decide then, as ``und`` means a text without a letter.
+    """
     model = lang_hierarchy.fit(docs)
+    if model is None:
+        return lang_hierarchy.has_language(docs, COLUMNS).filter("has_language").select(*COLUMNS)
     found = lang_hierarchy.predict(docs, model, COLUMNS, lang_field="predicted", score_field="certainty")
     return found.filter(F.col("predicted") != lang_hierarchy.UNKNOWN).select(*COLUMNS)
 

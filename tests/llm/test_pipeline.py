@@ -58,3 +58,9 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_without_any_label_goes_by_the_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.language(spark, docs, sf_dir)
+    assert rows_of(found) == rows_of(docs.filter(F.col("text").rlike(r"\p{L}"))) and found.count() > 0

@@ -124,6 +124,20 @@ def test_language_edge_cases(spark, languages):
     assert one.predict(lang_hierarchy.features("hallo")) == ("de", 1.0)
 
 
+def test_many_languages_train_the_same_machines(spark, languages):
+    driver = lang_hierarchy.fit(languages, rows_per_language=40)
+    tasks = lang_hierarchy.fit(languages, rows_per_language=40, max_languages=1)
+    assert tasks.members == driver.members and tasks.pairs == driver.pairs and tasks.names == driver.names
+    assert np.allclose(tasks.family_weights, driver.family_weights, atol=1e-6)
+    assert all(np.allclose(tasks.pair_weights[f], driver.pair_weights[f], atol=1e-6) for f in driver.members)
+    rows = [(10_000 + k, f"{chr(0x100 + 2 * (k % 70)) * 3} noise", f"n{k % 70}", "s", 1) for k in range(140)]
+    noisy = languages.union(spark.createDataFrame(rows, languages.schema))
+    model = lang_hierarchy.fit(noisy, rows_per_language=20)
+    assert len(model.names) == 73
+    found = lang_hierarchy.predict(noisy, model, ["doc_id", "lang"]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in found if r.doc_id < 10_000]) > 0.9 and len(found) == 940
+
+
 def test_features_of_long_texts_do_not_depend_on_parts(monkeypatch):
     text = "abc déf " * 900
     whole = lang_hierarchy.features(text)
