@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptspark.llm import bpe, chunk_tokens, lang_hierarchy, lexical_packing, license_scan, merkle, ppm, risk_rules, token_group_join, warc_zstd
+from conceptspark.llm import (
+    bpe, chunk_tokens, dense_rank, entropy_mix, lang_hierarchy, lexical_packing, license_scan, manifest, merkle, ppm, risk_rules, token_group_join, warc_zstd,
+)
 from conceptspark.llm.common import remainder, stored, table
 from conceptspark.session import scratch_path
 
@@ -61,11 +63,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_dense_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_rank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=manifest.lowercased_every_fifth())
+
+
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = entropy_mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ppm_scores, op2_bpe_round_trip, op3_risk_controlled_rules, op4_chunked_token_counts, op5_lexical_packing, op6_token_group_join,
-        op7_hierarchical_language, op8_warc_zstd, op9_merkle_fingerprints, op10_license_scan,
+        op7_hierarchical_language, op8_warc_zstd, op9_merkle_fingerprints, op10_license_scan, op11_dense_ranked_search,
+        op12_butterfly_manifest, op13_entropy_mix,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_dense_ranked_search": dense_rank.ORACLE, "op12_butterfly_manifest": manifest.ORACLE}
