@@ -17,13 +17,13 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from conceptspark.operators import forest
 from conceptspark.operators.embeddings import align_modalities
 from conceptspark.operators.evaluation import class_report, macro_f1
 from conceptspark.operators.experiments import class_weights
@@ -88,9 +88,9 @@ def fit_logistic(train: DataFrame, balanced: bool = True, c: float = 1.0, max_it
     return Fitted(estimator.fit(rows), _n_classes(train))
 
 
-def fit_random_forest(train: DataFrame, balanced: bool = True, trees: int = 100, depth: int = 12, seed: int = 42) -> Fitted:
-    estimator = RandomForestClassifier(**COLUMNS, weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed)
-    return Fitted(estimator.fit(weighted(train, balanced)), _n_classes(train))
+def fit_random_forest(train: DataFrame, balanced: bool = True, trees: int = 100, seed: int = 42) -> forest.Forest:
+    """Trees without a limit of depth, a root of the features tried per node."""
+    return forest.train(weighted(train, balanced), _n_classes(train), trees, seed)
 
 
 def fit_gradient_boost(train: DataFrame, rounds: int = 100, depth: int = 3, step: float = 0.1, seed: int = 42) -> Fitted:

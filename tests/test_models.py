@@ -21,7 +21,7 @@ def rows(spark, n=120, classes=3, seed=0):
 
 @pytest.mark.parametrize("fit", [
     models.fit_logistic,
-    lambda t: models.fit_random_forest(t, trees=5, depth=4),
+    lambda t: models.fit_random_forest(t, trees=5),
     lambda t: models.fit_gradient_boost(t, rounds=2),
     lambda t: models.fit_svm(t, max_iter=10),
     lambda t: models.fit_mlp(t, hidden=8, max_iter=60),
