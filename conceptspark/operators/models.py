@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from conceptspark.operators import forest
+from conceptspark.functions import small_fits
+from conceptspark.operators import forest, grouped_fits
 from conceptspark.operators.embeddings import align_modalities
 from conceptspark.operators.evaluation import class_report, macro_f1
 from conceptspark.operators.experiments import class_weights
@@ -76,6 +77,7 @@ def _n_classes(train: DataFrame) -> int:
 
 COLUMNS = {"featuresCol": "_v", "labelCol": "label"}
 PARALLEL_CLASSES = 4  # one-against-rest models fitted at the same time
+LANDMARKS = 256  # rows that stand for all others in the kernel of the SVM
 
 
 def fit_logistic(train: DataFrame, balanced: bool = True, c: float = 1.0, max_iter: int = 100) -> Fitted:
@@ -103,8 +105,16 @@ def fit_gradient_boost(train: DataFrame, rounds: int = 100, depth: int = 3, step
     return Fitted(estimator.fit(rows), classes)
 
 
-def fit_svm(train: DataFrame, balanced: bool = True, max_iter: int = 100) -> Fitted:
-    """Linear SVM one against the rest; ``random_fourier`` features approximate an RBF kernel."""
+def fit_svm(train: DataFrame, balanced: bool = True, max_iter: int = 100, kernel: str = "rbf", landmarks: int = LANDMARKS) -> Fitted | Kernelised:
+    """SVM one against the rest, C = 1: with the kernel exp(-gamma |x - y|^2) by default, or ``kernel="linear"``."""
+    if kernel == "linear":
+        return _linear_svm(train, balanced, max_iter)
+    lifter = nystroem(train, landmarks)
+    lifted = cut_lineage(lifter.lift(train))  # training passes over its input many times
+    return Kernelised(lifter, _linear_svm(lifted, balanced, max_iter))
+
+
+def _linear_svm(train: DataFrame, balanced: bool, max_iter: int) -> Fitted:
     rows = weighted(train, balanced)
     total = rows.agg(F.sum("_w")).first()[0]
     base = LinearSVC(**COLUMNS, weightCol="_w", regParam=1.0 / total, maxIter=max_iter, standardization=False)
@@ -112,18 +122,67 @@ def fit_svm(train: DataFrame, balanced: bool = True, max_iter: int = 100) -> Fit
     return Fitted(several.fit(rows), _n_classes(train))
 
 
-def random_fourier(rows: DataFrame, dim: int, out: int = 256, gamma: float = 1.0, seed: int = 42) -> DataFrame:
-    """Replace features by cosine features whose dot products approximate exp(−gamma·|x−y|²)."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(scale=np.sqrt(2 * gamma), size=(dim, out))
-    phase = rng.uniform(0, 2 * np.pi, size=out)
+@dataclass
+class Nystroem:
+    """Features whose dot products approximate an RBF kernel: values against landmark rows times a matrix.
+
+    ``error`` is the mean difference to the true kernel over all pairs of other rows, as many as the landmarks.
+    """
+
+    sample: np.ndarray
+    matrix: np.ndarray
+    gamma: float
+    error: float
+
+    def lift(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the features replaced, in Arrow batches."""
+        sample, matrix, gamma = self.sample, self.matrix, self.gamma
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def lifted(column: pd.Series) -> pd.Series:
+            if not len(column):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(small_fits.kernel(np.stack(column.to_numpy()), sample, gamma) @ matrix))
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def lift(column: pd.Series) -> pd.Series:
-        x = np.stack(column.to_numpy())
-        return pd.Series(list(np.sqrt(2.0 / out) * np.cos(x @ weights + phase)))
+        return rows.withColumn("features", lifted(F.col("features").cast("array<double>")))
 
-    return rows.withColumn("features", lift("features"))
+
+@dataclass
+class Kernelised:
+    """A linear model on lifted features."""
+
+    lifter: Nystroem
+    fitted: Fitted
+
+    @property
+    def classes(self) -> int:
+        return self.fitted.classes
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``raw``, ``proba`` and ``yhat``; the features stay as they came in."""
+        kept = rows.withColumn("_given", F.col("features"))
+        return self.fitted.predict(self.lifter.lift(kept)).withColumn("features", F.col("_given")).drop("_given")
+
+
+def nystroem(train: DataFrame, landmarks: int = LANDMARKS) -> Nystroem:
+    """Landmarks are the ``landmarks`` distinct rows that come first by hash; gamma is 1 / (features * variance of all values)."""
+    value = lambda f: F.aggregate("features", F.lit(0.0), lambda s, x: s + f(x.cast("double")))
+    n, total, squares = train.agg(
+        F.sum(F.size("features")), F.sum(value(lambda x: x)), F.sum(value(lambda x: x * x))
+    ).first()
+    dim = train.select(F.size("features")).first()[0]
+    spread = dim * (squares / n - (total / n) ** 2)
+    gamma = 1.0 / spread if spread > 0 else 1.0
+    distinct = train.select(F.col("features").cast("array<double>").alias("features")).distinct()
+    picked = distinct.orderBy(F.xxhash64("features"), "features").limit(2 * landmarks).collect()
+    rows = np.array([r[0] for r in picked])
+    sample, others = rows[:landmarks], rows[landmarks:]
+    matrix = small_fits.kernel_lift(sample, gamma)
+    error = 0.0
+    if len(others):
+        z = small_fits.kernel(others, sample, gamma) @ matrix
+        error = float(np.abs(z @ z.T - small_fits.kernel(others, others, gamma)).mean())
+    return Nystroem(sample, matrix, gamma, error)
 
 
 def fit_mlp(train: DataFrame, hidden: int = 256, max_iter: int = 100, seed: int = 42) -> Fitted:
@@ -241,6 +300,15 @@ def run_experiments(
     return predictions, [error for _, error in outcomes if error]
 
 
+def run_grid(
+    data: dict[str, DataFrame], splits: DataFrame, grid: DataFrame, seeds: list[int], path: str, options: dict | None = None,
+    group_cells: int = grouped_fits.GROUP_CELLS, parallelism: int = 4,
+) -> DataFrame:
+    """The pending part of an experiment grid: small configurations as grouped fits, larger ones as distributed ones."""
+    large = lambda configs: run_experiments(data, splits, configs, parallelism=parallelism)
+    return grouped_fits.run_grid(data, splits, grid, seeds, path, options, group_cells, large)
+
+
 # importance
 
 

@@ -99,6 +99,13 @@ GRID = {
 }
 
 
+def finished_tags(c):
+    """Tags of the grid that the predictions of the single sweep's seed answer already."""
+    backend = F.when(F.col("architecture") == "stacked", "neural").otherwise("classical")
+    tag = F.concat_ws("_", "target", backend, "architecture", "combo").alias("tag")
+    return c.predictions.where("seed = 42").select(tag).distinct()
+
+
 @query("m10_experiment_grid", "SELECT * FROM fx_grid JOIN fx_grid_sizes USING (target)", GRID)
 def _(c):
     grid = experiments.experiment_grid(c.spark)
@@ -113,11 +120,7 @@ def _(c):
     GRID,
 )
 def _(c):
-    backend = F.when(F.col("architecture") == "stacked", "neural").otherwise("classical")
-    done = c.predictions.where("seed = 42").select(
-        F.concat_ws("_", "target", backend, "architecture", "combo").alias("tag")
-    ).distinct()
-    return experiments.pending_experiments(experiments.experiment_grid(c.spark), done)
+    return experiments.pending_experiments(experiments.experiment_grid(c.spark), finished_tags(c))
 
 
 @query(

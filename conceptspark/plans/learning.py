@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptspark.fixtures import SEEDS
-from conceptspark.operators import evaluation, features, ladder, models, splits
+from conceptspark.operators import evaluation, experiments, features, ladder, models, splits
 from conceptspark.operators.stats_vector import graph_stats
 from conceptspark.functions.vocabulary import FEATURE_NAMES
+from conceptspark.plans.evaluation import finished_tags
 from conceptspark.plans.registry import query
 from conceptspark.plans.views import h32
 from conceptspark.plans.vocabulary import bag, modality
-from conceptspark.session import cut_lineage
+from conceptspark.session import cut_lineage, scratch_path
 
 TARGET = "stance_ambivalence"
 PROBE_SEEDS = SEEDS
@@ -27,18 +28,31 @@ def labelled(c, target: str = TARGET, seeds=(42,)):
     return cut_lineage(splits.restrict_split(rows, c.graphs.select(F.col("graph_id").alias("transcript_id"))))
 
 
+MADE = {
+    "stats": histogram,
+    "text": lambda c: modality(bag(c)),
+    "graph": lambda c: ladder.as_features(ladder.propagation.propagate(c.nodes, c.edges)),
+}
+
+
 def data(c, combo: str):
     """Feature tables of the modalities in ``combo``."""
-    made = {"stats": histogram, "text": lambda corpus: modality(bag(corpus))}
-    return {name: cut_lineage(made[name](c)) for name in combo.split("-")}
+    return {name: cut_lineage(MADE[name](c)) for name in combo.split("-")}
 
 
-def config(architecture: str, combo: str, target: str = TARGET, seed: int = 42):
-    return {"target": target, "combo": combo, "architecture": architecture, "seed": seed}
+def grid_results(c, grid, seeds, labels):
+    """Answers and error rows of ``grid`` for ``seeds``, from a fresh folder."""
+    return models.run_grid(data(c, "text-stats-graph"), labels, grid, seeds, scratch_path(c.spark, "runs"))
 
 
-def answers(c, architecture: str, combo: str, target: str = TARGET, **options):
-    return models.run_experiment(data(c, combo), labelled(c, target), config(architecture, combo, target), {architecture: options})
+def answers(c, architecture: str, combo: str, target: str = TARGET):
+    """Answers of one row of the grid on val and test of all ten seeds."""
+    grid = experiments.experiment_grid(c.spark)
+    mine = grid.where((F.col("target") == target) & (F.col("architecture") == architecture) & (F.col("combo") == combo))
+    found = models.run_grid(data(c, combo), labelled(c, target, SEEDS), mine, SEEDS, scratch_path(c.spark, "runs"))
+    failed = F.raise_error(F.col("error")).cast("int")
+    y = F.when(F.col("error").isNotNull(), failed).otherwise(F.col("y")).alias("y")
+    return found.select("target", "combo", "architecture", "seed", "transcript_id", "split", y, "yhat")
 
 
 @query("m01_logistic")
@@ -135,11 +149,13 @@ def _(c):
 
 @query("m12_run_experiments")
 def _(c):
-    wanted = [config(a, combo) for a, combo in (("logistic", "stats"), ("logistic", "text"), ("svm", "text-stats"))]
-    predictions, errors = models.run_experiments(data(c, "text-stats"), labelled(c), wanted)
-    if errors:
-        raise RuntimeError(errors[0]["error"])
-    return evaluation.macro_f1(predictions, ["target", "combo", "architecture", "seed", "split"])
+    """Every row of the grid that has no result yet, over all targets, with the seed of the single sweep: a score or an error."""
+    pending = experiments.pending_experiments(experiments.experiment_grid(c.spark), finished_tags(c))
+    labels = splits.restrict_split(splits.repeated_splits(c.target_labels, [42]), c.graphs.select(F.col("graph_id").alias("transcript_id")))
+    found = grid_results(c, pending, [42], cut_lineage(labels))
+    keys = ["tag", "target", "combo", "architecture", "seed", "split"]
+    scores = evaluation.macro_f1(found.where("error IS NULL"), keys).withColumn("error", F.lit(None).cast("string"))
+    return scores.unionByName(found.where("error IS NOT NULL").select(*keys, F.lit(None).cast("double").alias("macro_f1"), "error"))
 
 
 @query("m13_predict_proba")
