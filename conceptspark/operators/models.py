@@ -306,7 +306,7 @@ def run_grid(
 ) -> DataFrame:
     """The pending part of an experiment grid: small configurations as grouped fits, larger ones as distributed ones."""
     large = lambda configs: run_experiments(data, splits, configs, parallelism=parallelism)
-    return grouped_fits.run_grid(data, splits, grid, seeds, path, options, group_cells, large)
+    return grouped_fits.run_grid(data, splits, grid, seeds, path, options, group_cells, distributed=large)
 
 
 # importance
