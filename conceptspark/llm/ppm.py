@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from conceptspark.llm.common import boolean, double, long, slices, stored
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
-PART = 1 << 22
+PART = 1 << 19
 SUBTREES = 256
 #: no UTF-8 text holds this byte: it stands before and after each text
 EDGE = 0xFF
@@ -234,7 +234,7 @@ def gram_table(grams: DataFrame, order: int = ORDER) -> DataFrame:
     def subtree(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"code": part["code"], "value": code_lengths(part["code"].to_numpy(), part["n"].to_numpy(), order, pairs.value)})
 
-    by = F.pmod(F.expr("(code >> 8) & 65535") * F.lit(40503), F.lit(SUBTREES)).alias("subtree")
+    by = F.pmod(F.xxhash64(F.expr("(code >> 8) & 65535")), F.lit(SUBTREES)).alias("subtree")
     return grams.select("code", "n", by).groupBy("subtree").applyInPandas(subtree, "code long, value double")
 
 
@@ -252,14 +252,19 @@ def _score_block(order: int, total: int, kinds: int, ends: int, key_type: T.Data
             is_word = values.column("is_word").to_numpy()
             of_word, of_gram = np.zeros(int(is_word.sum())), np.zeros(int((~is_word).sum()))
             of_word[place[is_word]], of_gram[place[~is_word]] = value[is_word], value[~is_word]
-            split = [t.lower().split() for t in texts]
-            ordered = sorted({w for own in split for w in own})
-            counts = dict(zip(ordered, of_word.tolist(), strict=True))
-            for own in split:
-                c = np.array([counts[w] for w in own])
+            # words of one text at a time: those of a whole block as objects are many times its bytes
+            words = set()
+            for text in texts:
+                words.update(text.lower().split())
+            counts = dict(zip(sorted(words), of_word.tolist(), strict=True))
+            del words
+            for text in texts:
+                own = text.lower().split()
+                c = np.fromiter(map(counts.__getitem__, own), np.float64, len(own))
                 columns[2].append(len(own) + 1)
                 columns[3].append(int((c > 0).sum()) + (ends > 0))
                 columns[4].append(float(np.log10(c + 1).sum()) + log_end - (len(own) + 1) * log_all)
+            del counts
             buffer, first, behind = _buffer(texts, order)
             codes, _ = _all_grams(buffer, first, behind, order)
             scores = np.zeros(len(texts))
@@ -300,8 +305,8 @@ def score(
     grams = keys.filter("code is not null").select("block", "place", "code", "n")
     table = gram_table(stored(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams"), order)
     # a word stands once in each block: its training count, and whether this block is the first that has it
-    same = Window.partitionBy("word")
-    counted = words.select("block", "place", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+    once = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("head"))
+    counted = words.select("block", "place", "word").join(once, "word").select("block", "place", "c", (F.col("head") == F.col("block")).alias("first"))
     looked_up = grams.join(table, "code").select("block", "place", F.lit(False).alias("is_word"), "value", F.lit(False).alias("first"))
     values = stored(
         counted.select("block", "place", F.lit(True).alias("is_word"), F.col("c").cast("double").alias("value"), "first").unionByName(looked_up), "values"
