@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,6 +92,36 @@ def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2)))).astype("float64")
 
 
+@cache
+def u_tails(a: int, b: int) -> tuple[int, ...]:
+    """Numbers of arrangements of ``a`` and ``b`` values without ties whose U is at least 0, 1, …, a·b.
+
+    Arrangements with U = u are the partitions of u into at most ``a`` parts of at most ``b``: the coefficients of
+    prod (1 - q^(b+i)) / (1 - q^i), i = 1 … a, worked out in whole numbers of any size.
+    """
+    a, b = min(a, b), max(a, b)
+    size = a * b + 1
+    ways = np.zeros(size, dtype=object)
+    ways[0] = 1
+    for i in range(1, a + 1):
+        if b + i < size:
+            ways[b + i :] = ways[b + i :] - ways[: size - b - i]
+        for start in range(min(i, size)):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return tuple(np.cumsum(ways[::-1])[::-1])
+
+
+def exact_u_two_sided(u: float, a: int, b: int) -> float:
+    """Twice the chance that U is at least as far from its middle on the larger side, at most 1."""
+    tails = u_tails(a, b)
+    return min(1.0, 2 * int(tails[math.ceil(max(u, a * b - u))]) / int(tails[0]))
+
+
+@F.pandas_udf(DoubleType())
+def exact_u_p(u: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([exact_u_two_sided(x, int(m), int(n)) for x, m, n in zip(u, a, b)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")

@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from conceptspark.functions.vectors import normalised
 
 
+WORD = r"\p{IsIdeographic}|[\p{L}\p{M}\p{N}&&[^\p{IsIdeographic}]]+"
+
+
 def text_features(texts: DataFrame, column: str = "formatted", dim: int = 256) -> DataFrame:
-    """(transcript_id, features): hashed TF-IDF of the text, unit length.
+    """(transcript_id, features): hashed TF-IDF of the text, unit length; words are runs of letters, marks and digits of any script,
+    and every ideograph is a word of its own.
 
     The hashing stage needs no vocabulary; fitting is one pass that counts documents per bucket.
     """
     stages = Pipeline(
         stages=[
-            RegexTokenizer(inputCol=column, outputCol="_tokens", pattern="\\W+"),
+            RegexTokenizer(inputCol=column, outputCol="_tokens", pattern=WORD, gaps=False),
             HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
             IDF(inputCol="_tf", outputCol="_tfidf"),
         ]

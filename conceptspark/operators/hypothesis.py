@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptspark.functions.stats import chi2_p, normal_two_sided_p
+from conceptspark.functions.stats import chi2_p, exact_u_p, normal_two_sided_p
 from conceptspark.operators.ranking import running_total
 
 
@@ -50,9 +50,15 @@ def kruskal_wallis(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+EXACT_ROWS = 8  # the smaller group of an exact test has at most so many values
+EXACT_CELLS = 200_000  # and the product of both sizes is at most this; larger ones differ from the normal form in no printed digit
+
+
 def mann_whitney(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every pair of groups a < b: U of a, z (ties and continuity corrected), two-sided p, Cliff's delta.
 
+    p comes from the exact distribution of U where no values are tied and a group is small (``EXACT_ROWS``), else from z.
+
     A group's count row is sent to each pair the group takes part in; the number of groups is the number of
     distinct cohorts, not of rows.
     """
@@ -94,7 +100,9 @@ def mann_whitney(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .withColumn("_spread", spread)
         .withColumn("z", F.when(F.col("_spread") > 0, z))
         .withColumn("cliffs_delta", 2 * F.col("u") / (n_a * n_b) - 1)
-        .withColumn("p_value", normal_two_sided_p("z"))
+        .withColumn("_exact", (F.col("_ties") == 0) & (F.least(n_a, n_b) <= EXACT_ROWS) & (n_a * n_b <= EXACT_CELLS))
+        .withColumn("_one", F.when(F.col("_exact"), n_a).otherwise(0.0))  # a Python function sees rows of both branches
+        .withColumn("p_value", F.when(F.col("_exact"), exact_u_p(F.when(F.col("_exact"), F.col("u")).otherwise(0.0), "_one", F.when(F.col("_exact"), n_b).otherwise(0.0))).otherwise(normal_two_sided_p("z")))
         .select(*keys, "a", "b", n_a.cast("long").alias("n_a"), n_b.cast("long").alias("n_b"), "u", "z", "p_value", "cliffs_delta")
     )
 

@@ -137,3 +137,33 @@ def test_agreement_consensus_kappa(spark):
     same = spark.createDataFrame([("1", "low"), ("2", "low")], schema)
     assert labels.cohen_kappa(same, same).first()["kappa"] is None
     assert labels.cohen_kappa(same, none).first()["kappa"] is None
+
+
+@pytest.mark.parametrize("a,b", [(1, 1), (1, 7), (2, 5), (3, 3), (4, 6), (5, 5), (8, 4)])
+def test_exact_u_equals_enumeration(spark, a, b):
+    """All ways to deal the ranks to both groups, and the test itself for one of them."""
+    from itertools import combinations
+
+    from conceptspark.functions import stats
+
+    us = [sum(ranks) - a * (a + 1) // 2 for ranks in combinations(range(1, a + b + 1), a)]
+    for u in range(a * b + 1):
+        far = max(u, a * b - u)
+        assert stats.exact_u_two_sided(u, a, b) == pytest.approx(min(1.0, 2 * sum(x >= far for x in us) / len(us)))
+    rng = random.Random(a * b)
+    values = rng.sample(range(100), a + b)
+    df = spark.createDataFrame(long_rows({"a": values[:a], "b": values[a:]}), "metric string, grp string, value double")
+    row = hypothesis.mann_whitney(df).first()
+    assert row["p_value"] == pytest.approx(stats.exact_u_two_sided(row["u"], a, b))
+
+
+def test_exact_u_of_a_large_partner_and_ties(spark):
+    from conceptspark.functions import stats
+
+    assert int(stats.u_tails(8, 400)[0]) == math.comb(408, 8)
+    tied = spark.createDataFrame(long_rows({"a": [1, 2, 2], "b": [2, 3, 4]}), "metric string, grp string, value double")
+    row = hypothesis.mann_whitney(tied).first()
+    assert row["p_value"] == pytest.approx(math.erfc(row["z"] / math.sqrt(2)))
+    many = spark.createDataFrame(long_rows({"a": list(range(0, 40, 2)), "b": list(range(1, 41, 2))}), "metric string, grp string, value double")
+    row = hypothesis.mann_whitney(many).first()
+    assert row["p_value"] == pytest.approx(min(1.0, math.erfc(row["z"] / math.sqrt(2))))

@@ -94,3 +94,14 @@ def test_label_response_warnings(spark):
         ("wrong", "missing reasoning"),
         ("wrong", "no quotes"),
     ]
+
+
+def test_text_features_of_every_script(spark):
+    from conceptspark.operators import embeddings
+
+    texts = {1: "Die Straße ist schön", 2: "Die Strasse ist schon", 3: "学习机器学习", 4: "学习机器", 5: "привет мир", 6: "für über", 7: "f r ber", 8: " .,"}
+    table = spark.createDataFrame(list(texts.items()), "transcript_id long, formatted string")
+    found = {r.transcript_id: r.features for r in embeddings.text_features(table).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(found[a], found[b]))
+    assert all(abs(dot(k, k) - 1) < 1e-9 for k in texts if k != 8) and dot(8, 8) == 0
+    assert dot(3, 4) > dot(3, 1) + 0.3 and dot(1, 2) < 0.9 and dot(6, 7) < 0.5
