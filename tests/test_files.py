@@ -94,3 +94,22 @@ def test_quality_checkpoints(spark, tmp_path):
     rows = spark.read.parquet(paths[1]).orderBy("checkpoint").collect()
     assert [(r["checkpoint"], r["n_graphs"]) for r in rows] == [(2, 2), (4, 4)]
     assert rows[-1]["violation_share"] == 0.25 and rows[-1]["abort"]
+
+
+def test_last_folder_wins_over_many_files(spark, tmp_path):
+    """Two deliveries of many files: part names of the first sort behind those of the second."""
+    schema = T.StructType([T.StructField("route", T.StringType()), T.StructField("n", T.LongType())])
+    for folder, start, routes in (("2024-01", 5, "abc"), ("2024-02", 0, "ab")):
+        (tmp_path / folder).mkdir()
+        for k, route in enumerate(routes):
+            lines = [json.dumps({"route": route, "n": n}) for n in (1, 2 if folder == "2024-01" else 3)]
+            (tmp_path / folder / f"part-{start + k}.json").write_text("\n".join(lines))
+    found = files.scan_latest_results(spark, str(tmp_path / "*"), schema).collect()
+    assert {r["route"]: r["n"] for r in found} == {"a": 3, "b": 3, "c": 2}
+
+
+def test_experiment_folders_written_by_spark(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "a_b", 1), ("t", "c", 2)], "target string, experiment string, n long")
+    rows.write.partitionBy("target", "experiment").json(str(tmp_path / "runs"))
+    found = files.scan_experiments(spark, str(tmp_path / "runs"), T.StructType([T.StructField("n", T.LongType())]), "*.json")
+    assert sorted(map(tuple, found.collect())) == [("t", "a_b", 1), ("t", "c", 2)]
