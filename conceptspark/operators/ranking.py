@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators.joins import join_counted
 from conceptspark.session import cut_lineage
 
 
@@ -67,6 +68,22 @@ def rank_by_range(df: DataFrame, keys: list[str], order: list[str], name: str =
     )
 
 
+def exact_medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): exact median of the non-null values, the mean of both middle ones for an even number.
+
+    Values are counted map-side; the middle places are then found in running totals over ranges of the distinct values, so that no
+    task holds the values of a whole group. Groups without a value have no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = running_total(counts, keys, "_v", "_n", "_end")
+    sizes = ends.groupBy(*keys).agg(F.max("_end").alias("_size"))
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    held = lambda place: (F.col("_end") >= place) & (F.col("_end") - F.col("_n") < place)
+    placed = join_counted(ends, sizes, keys).where(held(low) | held(high))
+    ours = lambda place: F.max(F.when(held(place), F.col("_v").cast("double")))
+    return placed.groupBy(*keys).agg(((ours(low) + ours(high)) / 2).alias(name))
+
+
 def consecutive_pairs(df: DataFrame, keys: list[str], order: str, before: str, width: int = 4096) -> DataFrame:
     """(keys, before, order) for every value of the integer column ``order`` that has a predecessor in ``keys``.
 

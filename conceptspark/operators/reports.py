@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conceptspark.functions.vocabulary import VALENCES, VERIFY_KEYWORDS
 from conceptspark.operators import features, validation
 from conceptspark.operators.joins import join_counted
+from conceptspark.operators.ranking import exact_medians
 
 CONFLICT = "CONFLICTS_WITH"
 MIX_RELATIONS = ["SERVES", "EXPRESSED_VIA", "MODULATED_BY", CONFLICT]
@@ -81,19 +82,21 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, demogra
 
 
 def cohort_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, median, sample deviation and sum of each metric per cohort.
-
-    The exact median keeps a count per distinct value; metric columns are small counts and ratios of them.
-    """
+    """Mean, exact median, sample deviation and sum of each metric per cohort."""
     aggregates = [F.count("*").alias("n")]
     for c in columns:
         aggregates += [
             F.avg(c).alias(f"mean_{c}"),
-            F.median(c).alias(f"median_{c}"),
             F.stddev_samp(c).alias(f"std_{c}"),
             F.sum(F.col(c).cast("double")).alias(f"sum_{c}"),
         ]
-    return metrics.groupBy("split").agg(*aggregates).orderBy("split")
+    key = F.coalesce(F.concat(F.lit("s"), "split"), F.lit("")).alias("_split")  # joins keep a null cohort
+    means = metrics.groupBy("split").agg(*aggregates).withColumn("_split", key)
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_m")
+    medians = exact_medians(metrics.select(key, listed).select("_split", "_m.*"), ["_split", "metric"], "value")
+    wide = medians.groupBy("_split").agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(f"median_{c}") for c in columns])
+    order = ["split", "n", *[f"{a}_{c}" for c in columns for a in ("mean", "median", "std", "sum")]]
+    return means.join(wide, "_split", "left").select(order).orderBy("split")
 
 
 def corpus_overview(sizes: DataFrame, graphs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from conceptspark.operators import validation
@@ -32,18 +34,30 @@ def document_metrics(documents: DataFrame) -> DataFrame:
     return sized.join(found, "graph_id", "left").na.fill(0, ["n_violations"])
 
 
-def checkpoint_report(store: DataFrame) -> DataFrame:
-    """One row over everything stored so far."""
+COUNTS = ["n", "nodes", "squares", "edges", "inferential", "one_plus_one", "violating"]
+
+
+def totals(metrics: DataFrame) -> DataFrame:
+    """One row of whole-number sums over document metrics; rows of several batches add up to those of all."""
     inferential = F.col("n_subsumes") + F.col("n_implies")
-    share = F.avg((F.col("n_violations") > 0).cast("double"))
-    return store.agg(
-        F.count("*").alias("n_graphs"),
-        F.avg("n_nodes").alias("mean_nodes"),
-        F.stddev_pop("n_nodes").alias("sd_nodes"),
-        F.avg("n_edges").alias("mean_edges"),
-        F.avg(inferential).alias("mean_inferential"),
-        F.avg(((F.col("n_subsumes") == 1) & (F.col("n_implies") == 1)).cast("double")).alias("one_plus_one_share"),
-        share.alias("violation_share"),
+    single = (F.col("n_subsumes") == 1) & (F.col("n_implies") == 1)
+    nodes = F.col("n_nodes").cast("long")
+    sums = [nodes, nodes * nodes, F.col("n_edges"), inferential, single.cast("long"), (F.col("n_violations") > 0).cast("long")]
+    return metrics.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(c) for x, c in zip(sums, COUNTS[1:], strict=True)])
+
+
+def checkpoint_report(sums: DataFrame) -> DataFrame:
+    """One row over the documents whose totals these are."""
+    n, wide = F.col("n"), lambda c: F.col(c).cast("decimal(19,0)")
+    spread = (wide("n") * wide("squares") - wide("nodes") * wide("nodes")).cast("double")
+    return sums.select(
+        n.alias("n_graphs"),
+        (F.col("nodes") / n).alias("mean_nodes"),
+        (F.sqrt(F.greatest(spread, F.lit(0.0))) / n).alias("sd_nodes"),
+        (F.col("edges") / n).alias("mean_edges"),
+        (F.col("inferential") / n).alias("mean_inferential"),
+        (F.col("one_plus_one") / n).alias("one_plus_one_share"),
+        (F.col("violating") / n).alias("violation_share"),
     ).withColumn("abort", F.col("violation_share") > MAX_VIOLATION_SHARE)
 
 
@@ -52,21 +66,27 @@ def stream_quality(
     files_per_batch: int = 50,
 ) -> StreamingQuery:
     """Start the stream: metrics of new documents are stored, a report row is written whenever the total
-    passes a checkpoint. Both writes replace the batch's own partition, so a replay changes nothing.
+    passes a checkpoint. A batch reads its own documents and one row of totals that the batch before left beside the store,
+    so its cost does not grow with the store. All writes replace the batch's own partition, so a replay changes nothing.
     """
     marks = sorted(checkpoints or CHECKPOINTS)
+    kept = f"{store.rstrip('/')}_totals"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         document_metrics(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        everything = session.read.parquet(store).where(F.col("batch") <= batch_id)
-        counts = everything.agg(
-            F.count("*").alias("n"), F.count_if(F.col("batch") < batch_id).alias("before")
-        ).first()
-        passed = [m for m in marks if counts["before"] < m <= counts["n"]]
+        own = totals(session.read.parquet(f"{store}/batch={batch_id}"))
+        before = 0
+        if batch_id > 0:
+            last = session.read.parquet(f"{kept}/batch={batch_id - 1}").select(COUNTS)
+            before = last.first()["n"]
+            own = own.unionByName(last).agg(*[F.sum(c).alias(c) for c in COUNTS])
+        own.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        sums = session.read.parquet(f"{kept}/batch={batch_id}")
+        passed = [m for m in marks if before < m <= sums.first()["n"]]
         if passed:
             crossed = F.explode(F.array(*map(F.lit, passed)))
-            checkpoint_report(everything).withColumn("checkpoint", crossed).write.mode("overwrite").parquet(
+            checkpoint_report(sums).withColumn("checkpoint", crossed).write.mode("overwrite").parquet(
                 f"{reports}/batch={batch_id}"
             )
 
@@ -79,36 +99,60 @@ def stream_quality(
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _numbered(batches):
+    """Rows with their place in the task; a task reads the lines of a file block in order."""
+    at = 0
+    for batch in batches:
+        places = pa.array(range(at, at + batch.num_rows), pa.int64())
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, places], names=[*batch.schema.names, "_row"])
+
+
 def stream_upsert(
     spark: SparkSession, source: str, schema, store: str, state: str, key: str = "transcript_id", files_per_batch: int = 50
 ) -> StreamingQuery:
     """Write only ids not stored before; within a batch the first record of an id by file name and line stays.
 
-    A replayed batch rewrites itself.
+    Which ids are stored is keyed state on disk (RocksDB), versioned with the batches: a batch looks up its own ids only, so its
+    cost does not grow with the store, and a replayed batch starts from the state before it and rewrites itself.
     """
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        values = [c for c in batch.columns if c not in (key, "_file", "_block")]
-        arrival = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
-        fresh = (
-            batch.withColumn("_arrival", arrival)
-            .where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.min_by(F.struct(*values), "_arrival").alias("_r"))
-            .select(key, *[f"_r.{c}" for c in values])
-        )
-        if batch_id > 0:
-            known = session.read.parquet(store).where(F.col("batch") < batch_id).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    arriving = arriving.select("*", *place)
-    return (
-        arriving.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
+    placed = arriving.select("*", *place).where(F.col(key).isNotNull())
+    rows = placed.mapInArrow(_numbered, T.StructType([*placed.schema.fields, T.StructField("_row", T.LongType())]))
+    wanted = T.StructType(list(arriving.schema.fields))
+    names = wanted.fieldNames()
+
+    def first_seen(_, parts, seen):
+        if seen.exists:
+            for _ in parts:  # all rows of an id that is stored already
+                pass
+            return
+        best = None
+        for part in parts:
+            one = part.sort_values(["_file", "_block", "_row"], kind="stable").iloc[[0]]
+            order = (one["_file"].iloc[0], one["_block"].iloc[0], one["_row"].iloc[0])
+            if best is None or order < best[0]:
+                best = (order, one)
+        seen.update((True,))
+        yield best[1][names]
+
+    fresh = rows.groupBy(key).applyInPandasWithState(first_seen, wanted, "stored boolean", "append", "NoTimeout")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    query = fresh.writeStream.foreachBatch(on_batch).option("checkpointLocation", state).trigger(availableNow=True)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
+    try:
+        return query.start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)

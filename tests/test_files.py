@@ -113,3 +113,35 @@ def test_experiment_folders_written_by_spark(spark, tmp_path):
     rows.write.partitionBy("target", "experiment").json(str(tmp_path / "runs"))
     found = files.scan_experiments(spark, str(tmp_path / "runs"), T.StructType([T.StructField("n", T.LongType())]), "*.json")
     assert sorted(map(tuple, found.collect())) == [("t", "a_b", 1), ("t", "c", 2)]
+
+
+def test_upsert_reads_state_and_not_the_store(spark, tmp_path):
+    """Stored ids are known without the store: it may be moved away between two runs."""
+    source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    (tmp_path / "in").mkdir()
+
+    def deliver(name, ids):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"transcript_id": i, "label": name}) for i in ids))
+
+    deliver("a.json", ["1", "2"])
+    ingest.stream_upsert(spark, source, CACHE, store, state).awaitTermination()
+    deliver("b.json", ["2", "3", None])
+    ingest.stream_upsert(spark, source, CACHE, str(tmp_path / "elsewhere"), state).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "elsewhere")).collect()
+    assert [(r["transcript_id"], r["label"]) for r in rows] == [("3", "b.json")]
+    assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
+
+
+def test_quality_totals_follow_the_batch_before(spark, tmp_path):
+    """A batch's totals come from its own documents and the totals before, whatever became of the stored documents."""
+    (tmp_path / "in").mkdir()
+    paths = [str(tmp_path / n) for n in ("store", "reports", "state")]
+    sizes = [0, 3, 1, 2]
+    for i, n in enumerate(sizes):
+        doc = {"transcript_id": str(i), "split": "w", "domain": "d", "nodes": [{"id": f"n{k}", "type": "Value"} for k in range(n)], "edges": []}
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(doc))
+        ingest.stream_quality(spark, str(tmp_path / "in"), *paths, checkpoints=[4], files_per_batch=1).awaitTermination()
+    sums = spark.read.parquet(f"{paths[0]}_totals/batch=3").first()
+    assert (sums["n"], sums["nodes"], sums["squares"]) == (4, 6, 14)
+    report = spark.read.parquet(paths[1]).first()
+    assert report["mean_nodes"] == 1.5 and report["sd_nodes"] == pytest.approx((sum((n - 1.5) ** 2 for n in sizes) / 4) ** 0.5)

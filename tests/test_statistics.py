@@ -167,3 +167,15 @@ def test_exact_u_of_a_large_partner_and_ties(spark):
     many = spark.createDataFrame(long_rows({"a": list(range(0, 40, 2)), "b": list(range(1, 41, 2))}), "metric string, grp string, value double")
     row = hypothesis.mann_whitney(many).first()
     assert row["p_value"] == pytest.approx(min(1.0, math.erfc(row["z"] / math.sqrt(2))))
+
+
+def test_exact_medians_over_many_ranges(spark):
+    import statistics
+
+    rng = random.Random(6)
+    groups = {"one": [3.5], "two": [1.0, 4.0], "alike": [2.0] * 501 + [7.0] * 500, "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-5, 9) for _ in range(400)]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("one", None), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = {r["g"]: r["median"] for r in ranking.exact_medians(df, ["g"], "v").collect()}
+    assert found == {g: pytest.approx(statistics.median(values)) for g, values in groups.items()}
