@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,12 +135,10 @@ def stream_upsert(
             return
         best = None
         for part in parts:
-            one = part.sort_values(["_file", "_block", "_row"], kind="stable").iloc[[0]]
-            order = (one["_file"].iloc[0], one["_block"].iloc[0], one["_row"].iloc[0])
-            if best is None or order < best[0]:
-                best = (order, one)
+            rows_ = part if best is None else pd.concat([best, part])
+            best = rows_ if len(rows_) == 1 else rows_.sort_values(["_file", "_block", "_row"], kind="stable").iloc[[0]]
         seen.update((True,))
-        yield best[1][names]
+        yield best[names]
 
     fresh = rows.groupBy(key).applyInPandasWithState(first_seen, wanted, "stored boolean", "append", "NoTimeout")
 
