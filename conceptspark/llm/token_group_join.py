@@ -27,7 +27,11 @@ PERCENT = 80
 #: one more rare shingle in the prefix, and one more that partners must share, for so many shingles of a set
 PER_EXTRA = 10
 SKETCH_BITS = 24
-FILTER_BITS = 20
+#: bits of a shingle's hash that postings carry: two shingles that agree in them only make more candidates
+TOKEN_BITS = 48
+#: slots of the filter of wanted entities: so many for each, up to a bitmap of 16 MB
+SLOTS_EACH = 64
+MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 27
 GROUP_SIZE = 256
 QUERY_CHUNK = 256
 SEEN_ENTRIES = 200_000
@@ -138,8 +142,21 @@ def _texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
     return docs.select(*more, F.col(f"`{text_col}`").cast("string").alias("text_in"))
 
 
+#: counts in one byte: exact below 16, then three bits after the leading one; larger counts never get smaller codes
+EXACT, STEP_BITS = 16, 3
+DECODED = np.array([*range(EXACT), *(((1 << STEP_BITS) + m) << (e - STEP_BITS) for e in range(4, 34) for m in range(1 << STEP_BITS))], np.int64)
+
+
+def encoded(counts: np.ndarray) -> np.ndarray:
+    """The byte of the largest decoded count that is not above each count."""
+    codes = np.minimum(counts, EXACT - 1).astype(np.uint8)
+    large = np.flatnonzero(counts >= EXACT)
+    codes[large] = np.searchsorted(DECODED, counts[large], side="right") - 1
+    return codes
+
+
 def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray:
-    """How many documents hold a shingle of each hash bucket: ``2 ** bits`` counts up to 65,535, whatever the input's size.
+    """How many documents hold a shingle of each hash bucket: ``2 ** bits`` counts as :func:`encoded` bytes, whatever the input's size.
 
     Any total order of shingles keeps the join exact; these counts only put the frequent ones last.
     """
@@ -147,7 +164,7 @@ def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray
     step = (1 << bits) // parts
 
     def packed(counts: np.ndarray) -> bytes:
-        return zlib.compress(np.minimum(counts, 65_535).astype("<u2").tobytes(), 1)
+        return zlib.compress(encoded(counts).tobytes(), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
@@ -160,19 +177,20 @@ def _sketch(docs: DataFrame, text_col: str, width: int, bits: int) -> np.ndarray
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(step, np.int64)
         for piece in part["counts"]:
-            total += np.frombuffer(zlib.decompress(piece), "<u2")
+            total += DECODED[np.frombuffer(zlib.decompress(piece), np.uint8)]
         return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [packed(total)]})
 
     schema = "part int, counts binary"
     added = _texts(docs, text_col).mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema)
     rows = {r["part"]: zlib.decompress(r["counts"]) for r in added.collect()}
-    empty = bytes(2 * step)
-    return np.frombuffer(b"".join(rows.get(k, empty) for k in range(parts)), "<u2")
+    empty = bytes(step)
+    return np.frombuffer(b"".join(rows.get(k, empty) for k in range(parts)), np.uint8)
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, order, sketch_bits: int) -> DataFrame:
-    """Per row: number, id, set size, entity, and the rarest shingles of the set (null where the task has given the entity's before)."""
-    bits = np.uint64(64 - sketch_bits)
+    """Per row: number, id, set size, entity, and the rarest shingles of the set, ``TOKEN_BITS`` of each (null where the task has given
+    the entity's before)."""
+    bits, cut = np.uint64(64 - sketch_bits), np.uint64(64 - TOKEN_BITS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -193,7 +211,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent
                 seen.add(entity)
                 frequency = counts[(hashes >> bits).astype(np.int64)]
                 rare = np.argsort(frequency, kind="stable")[: n - needed(n, percent) + extra(n)]
-                prefixes.append(hashes[rare].view(np.int64))
+                prefixes.append((hashes[rare] >> cut).view(np.int64))
             numbers = pa.array(range(number, number + len(sizes)), pa.int64())
             number += len(sizes)
             columns = [numbers, batch.column(0), pa.array(sizes, pa.int64()), pa.array(entities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
@@ -215,32 +233,53 @@ def _postings(signed: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     Copies of an entity from other tasks go after the first count, when few postings are left: the long lists of rare shingles are
     shuffled once, by shingle.
     """
-    rare = signed.select(F.explode("prefix").alias("token"), F.col("number").alias("id"), "n")
-    owned = _shared(rare).drop("holders").join(owners.select("id"), "id", "left_semi")
+    rare = signed.select(F.explode("prefix").alias("token"), F.col("number").alias("id"))
+    owned = _shared(rare).drop("holders").join(owners.select("id", "n"), "id")
     share = F.count("*").over(Window.partitionBy("id"))
     enough = owned.withColumn("share", share).filter(F.col("share") >= _must_share(F.col("n"), percent)).drop("share")
     return stored(_shared(enough), "postings")
 
 
+def _filter(active: DataFrame) -> tuple[np.ndarray, int]:
+    """Bitmap over slots of the first four bytes of ``entity``, sized by the number of rows, and the mask that gives a slot.
+
+    Bits are set byte by byte in Spark; what reaches the driver is at most ``2 ** MAX_FILTER_BITS`` bits.
+    """
+    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, (SLOTS_EACH * active.count()).bit_length()))
+    mask, parts = (1 << bits) - 1, 64
+    step = (1 << bits) // 8 // parts
+    slot = F.conv(F.hex(F.substring("entity", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(mask))
+    bytes_ = active.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 8).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("byte")
+    )
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        piece = np.zeros(step, np.uint8)
+        piece[part["at"].to_numpy() % step] = part["byte"].to_numpy()
+        return pd.DataFrame({"part": [int(part["at"].iloc[0]) // step], "piece": [zlib.compress(piece.tobytes(), 1)]})
+
+    packed = bytes_.groupBy(F.floor(F.col("at") / step)).applyInPandas(pack, "part int, piece binary")
+    rows = {r["part"]: zlib.decompress(r["piece"]) for r in packed.collect()}
+    return np.frombuffer(b"".join(rows.get(k, bytes(step)) for k in range(parts)), np.uint8), mask
+
+
 def _sets(docs: DataFrame, text_col: str, width: int, active: DataFrame) -> DataFrame:
     """Columns id, grp and shingles: the whole set of the ``active`` entities (entity, id, grp), once each.
 
-    A filter of fixed size holds back most others before anything is shuffled; the join after it is exact.
+    A filter of bounded size holds back most others before anything is shuffled; the join after it is exact.
     """
-    slot = F.expr(f"cast(conv(hex(substring(entity, 1, 4)), 16, 10) as long) % {1 << FILTER_BITS}")
-    flags = np.zeros(1 << FILTER_BITS, bool)
-    slots = active.select(slot.alias("slot")).distinct().collect()  # at most 2 ** FILTER_BITS
-    flags[np.array([r["slot"] for r in slots], np.int64)] = True
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    flags, mask = _filter(active)
+    flags = docs.sparkSession.sparkContext.broadcast(flags)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.unpackbits(flags.value).astype(bool)
+        allowed = flags.value
         shingles, seen = Shingler(width), set()
         for batch in (part for whole in batches for part in slices(whole)):
             entities, sets = [], []
             for hashes in shingles.all(batch.column(0).to_pylist()):
                 entity = _entity(hashes)
-                if allowed[int.from_bytes(entity[:4], "big") % len(allowed)] and entity not in seen:
+                slot = int.from_bytes(entity[:4], "big") & mask
+                if allowed[slot >> 3] >> (slot & 7) & 1 and entity not in seen:
                     if len(seen) > SEEN_ENTRIES:
                         seen.clear()
                     seen.add(entity)
@@ -379,15 +418,16 @@ def jaccard_classes(
     context = docs.sparkSession.sparkContext
     order = context.broadcast(_sketch(docs, text_col, width, sketch_bits))
     signed = stored(_signatures(docs, id_col, text_col, width, percent, order, sketch_bits), "signatures")
-    owners = stored(signed.filter("n > 0").groupBy("entity").agg(F.min("number").alias("id")), "owners")
+    owners = stored(signed.filter("n > 0").groupBy("entity").agg(F.min("number").alias("id"), F.first("n").alias("n")), "owners")
     postings = _postings(signed, owners, percent)
     # members of a family share its most held shingle, so they fall into as few groups as their number allows
     core = F.max(F.struct("holders", "token"))["token"].alias("core")
     active = stored(postings.groupBy("id").agg(core), "active")
     sizes = active.groupBy("core").agg(F.ceil(F.count("*") / group_size).alias("splits"))
     split = F.pmod(F.xxhash64("id"), F.col("splits"))
-    placed = stored(active.join(sizes, "core").select("id", F.xxhash64("core", split).alias("grp")), "placed")
-    sets = _sets(docs, text_col, width, owners.join(placed, "id"))
+    grp = F.shiftrightunsigned(F.xxhash64("core", split), 64 - TOKEN_BITS).alias("grp")
+    placed = stored(active.join(sizes, "core").select("id", grp), "placed")
+    sets = _sets(docs, text_col, width, stored(owners.select("entity", "id").join(placed, "id"), "wanted"))
     sets = stored(sets.groupBy("grp").applyInPandas(_connect_group(percent), "id long, grp long, class long, shingles array<long>"), "sets")
     classes = sets.select("id", "class")
     # the smaller of two first classes asks, so a huge family is searched but never asks itself; the order holds for both rounds
@@ -399,7 +439,7 @@ def jaccard_classes(
     roots = components(_cross_links(entries, leads, sets, percent))
     later = components(_cross_links(_apart(_relabel(entries, roots), ~leads), ~leads, _relabel(sets, roots), percent))
     classes = _relabel(_relabel(classes, roots), later)
-    known = signed.select("key", "n", "entity").join(owners, "entity", "left").join(classes, "id", "left")
+    known = signed.select("key", "n", "entity").join(owners.select("entity", "id"), "entity", "left").join(classes, "id", "left")
     known = stored(known.select("key", "n", F.coalesce("class", "id").alias("class")), "classed")
     lowest = known.filter("n > 0").groupBy("class").agg(F.min("key").alias("lowest"))
     result = known.join(lowest, "class", "left")

@@ -78,3 +78,23 @@ def test_linked_is_exact():
     a = np.arange(100, dtype=np.uint64)
     assert join.linked(a[:80], a, 80) and not join.linked(a[:79], a, 80)
     assert join.linked(a[:90], a[10:], 80) == (100 * 80 >= 80 * 100)
+
+
+def test_counts_in_a_byte():
+    counts = np.array([0, 1, 15, 16, 17, 255, 65_535, 2**31])
+    codes = join.encoded(counts)
+    back = join.DECODED[codes]
+    assert len(join.DECODED) == 256 and (np.diff(join.DECODED) > 0).all()
+    assert (back <= counts).all() and (back * 9 >= counts * 8).all() and (np.diff(codes.astype(int)) >= 0).all()
+
+
+def test_filter_holds_every_wanted_entity(spark):
+    import os
+
+    names = [os.urandom(16) for _ in range(500)]
+    active = spark.createDataFrame([(bytearray(x),) for x in names], "entity binary")
+    flags, mask = join._filter(active)
+    found = lambda x: flags[(k := int.from_bytes(x[:4], "big") & mask) >> 3] >> (k & 7) & 1
+    assert len(flags) * 8 == mask + 1 and all(found(x) for x in names)
+    assert sum(int(found(os.urandom(16))) for _ in range(2000)) < 100
+    assert not join._filter(active.limit(0))[0].any()
