@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptspark.functions.vectors import scaled_text
-from conceptspark.operators import canonical, embeddings, features, splits, transcripts
+from conceptspark.operators import canonical, embeddings, features, splits, transcripts, word_vectors
 from conceptspark.plans.graphs import VIOLATIONS
 from conceptspark.plans.registry import query
 from conceptspark.session import scratch_path
@@ -188,7 +188,7 @@ def graph_ids(c):
 @query("e01_text_features")
 def _(c):
     texts = transcripts.filter_speaker_text(transcripts.parse_turns(c.transcripts), "Human")
-    return embeddings.text_features(texts)
+    return word_vectors.learned_text_features(texts)
 
 
 @query("e02_label_bag", "SELECT graph_id, features FROM fx_bag_text", VECTORS)
