@@ -1,7 +1,7 @@
 """Packing of token windows by lexical retrieval.
 
 Documents arrive in shards of a bounded number of rows and tokens, each inside one task and without a shuffle. A shard
-holds a BM25 inverted index over token ids. Each seed document opens a window; its best unused neighbours by BM25
+holds a BM25 inverted index over the token ids of its whole documents. Each seed document opens a window; its best unused neighbours by BM25
 fill the window greedily, the last one is cut where the window ends, and the rest of it seeds the next window. A document
 longer than a window fills windows of its own first. What is left at the end of a shard is cut into powers of two, which
 need no padding.
@@ -26,6 +26,10 @@ WINDOW = 1024
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
+#: a term that more than one document in so many holds is a row of the dense table
+DENSE_SHARE = 6
+#: weights are rounded to multiples of this, small enough to tell scores apart, large enough for exact sums below 2^53 steps
+STEP = 2.0**-20
 
 PIECE = [long("start"), long("length"), long("ids_crc32"), long("doc_tokens"), long("sequence_id"), long("offset")]
 
@@ -50,23 +54,34 @@ def byte_encoder(json_path: str, ranks_path: str):
 
 
 class Index:
-    """BM25 inverted index over bags of token ids."""
+    """BM25 inverted index over bags of token ids.
+
+    Terms that many bags hold are kept as rows of a dense table, the others as posting lists. Weights are whole multiples of
+    ``STEP``, so that their sums are exact in any order and equal bags have equal scores.
+    """
 
     def __init__(self, bags: list[np.ndarray], query_terms: int | None = None):
         counted = [np.unique(b, return_counts=True) for b in bags]
         sizes = np.array([len(t) for t, _ in counted], np.int64)
         terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
-        tf = np.concatenate([c for _, c in counted]).astype(np.float32)
+        tf = np.concatenate([c for _, c in counted]).astype(np.float64)
         owner = np.repeat(np.arange(len(bags)), sizes)
-        length = np.array([len(b) for b in bags], np.float32)
+        length = np.array([len(b) for b in bags], np.float64)
         df = np.bincount(terms)
-        idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, float(length.mean())))
-        weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
-        order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.pointer = np.concatenate([[0], np.cumsum(df)])
+        weight = np.rint(idf[terms] * tf * (K1 + 1) / (tf + norm[owner]) / STEP) * STEP
         self.n = len(bags)
+        frequent = np.flatnonzero(df * DENSE_SHARE > self.n)
+        self.slot = np.full(len(df), -1)
+        self.slot[frequent] = np.arange(len(frequent))
+        in_table = self.slot[terms] >= 0
+        self.table = np.zeros((len(frequent), self.n))
+        self.table[self.slot[terms[in_table]], owner[in_table]] = weight[in_table]
+        order = np.flatnonzero(~in_table)
+        order = order[np.argsort(terms[order], kind="stable")]
+        self.owner, self.weight = owner[order], weight[order]
+        self.pointer = np.concatenate([[0], np.cumsum(np.where(self.slot < 0, df, 0))])
         at = np.concatenate([[0], np.cumsum(sizes)])
         # the query of a document: all its terms that others share, the most telling first, unless ``query_terms`` cuts it
         self.queries = []
@@ -74,24 +89,40 @@ class Index:
             own, weights = terms[at[k] : at[k + 1]], weight[at[k] : at[k + 1]]
             shared = df[own] > 1
             own, weights = own[shared], weights[shared]
-            self.queries.append(own[np.argsort(-weights, kind="stable")[:query_terms]])
+            self.queries.append(own if query_terms is None else own[np.argsort(-weights, kind="stable")[:query_terms]])
 
-    def ranked(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free documents that share a query term with the seed, best first, ties by position."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Score of every document for the seed's query."""
         query = self.queries[seed]
+        slots = self.slot[query]
+        asked = np.zeros(len(self.table))
+        asked[slots[slots >= 0]] = 1.0
+        query = query[slots < 0]
         starts = self.pointer[query]
         sizes = self.pointer[query + 1] - starts
-        total = int(sizes.sum())
-        if not total:
-            return query[:0]
-        where = np.arange(total) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        scores = np.bincount(self.owner[where], self.weight[where], self.n)
+        where = np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.owner[where], self.weight[where], self.n) + asked @ self.table
+
+    def ranked(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """Free documents that share a query term with the seed, best first, ties by position."""
+        return np.fromiter(self.nearest(seed, free), np.int64)
+
+    def nearest(self, seed: int, free: np.ndarray, first: int = 32) -> Iterator[int]:
+        """The same one by one; those beyond the ``first`` are ordered only when they are asked for."""
+        scores = self.scores(seed)
         hits = np.flatnonzero((scores > 0) & free)
-        return hits[np.argsort(-scores[hits], kind="stable")]
+        found = scores[hits]
+        late = found < np.partition(found, -first)[-first] if len(hits) > first else np.zeros(len(hits), bool)
+        for part in (~late, late):
+            own, values = hits[part], found[part]
+            yield from own[np.argsort(-values, kind="stable")].tolist()
 
 
 def pack_shard(lengths: list[int], bags: list[np.ndarray], window: int, query_terms: int | None = None) -> list[list[tuple[int, int, int]]]:
-    """Windows of one shard as lists of (document, start, length); every position lies in exactly one."""
+    """Windows of one shard as lists of (document, start, length); every position lies in exactly one.
+
+    ``bags`` hold the ids of the whole documents: likeness is that of documents, whatever part of them is left to pack.
+    """
     windows = []
     start = [n - n % window for n in lengths]
     for k, full in enumerate(start):
@@ -107,7 +138,7 @@ def pack_shard(lengths: list[int], bags: list[np.ndarray], window: int, query_te
         seed, open_seed = open_seed, None
         free[seed] = False
         now, room = [(seed, start[seed], lengths[seed] - start[seed])], window - (lengths[seed] - start[seed])
-        ranked = iter(index.ranked(seed, free).tolist()) if room else iter(())
+        ranked = index.nearest(seed, free) if room else iter(())
         while room and (other := next(ranked, None)) is not None or room and free.any():
             if other is None:
                 # nothing alike is left: the next free document in order
@@ -170,9 +201,8 @@ def pack(
         def shard() -> pa.RecordBatch:
             nonlocal sequence
             lengths = [len(i) for i in ids]
-            tails = [i[n - n % window :] for i, n in zip(ids, lengths, strict=True)]
             rows: list[tuple] = []
-            for pieces in pack_shard(lengths, tails, window, query_terms):
+            for pieces in pack_shard(lengths, ids, window, query_terms):
                 offset = 0
                 for doc, start, n in pieces:
                     part = ids[doc][start : start + n]

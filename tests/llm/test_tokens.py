@@ -1,8 +1,10 @@
 """BPE round trips, chunked token counts and packing against the libraries."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -139,3 +141,67 @@ def test_packing_scores_with_all_shared_terms(spark):
     docs = docs_of(spark, [(k, " ".join(f"t{t}" for t in b)) for k, b in enumerate(bags)])
     plain, whole = (sorted(map(tuple, lexical_packing.pack(docs.coalesce(1), **options).collect())) for options in ({}, {"query_terms": 10**9}))
     assert plain == whole
+
+
+def brute_windows(lengths, bags, window):
+    """Greedy retrieval packing with plain dictionaries: full windows first, then each seed with its best unused neighbours."""
+    n, mean = len(bags), sum(map(len, bags)) / len(bags)
+    counts = [Counter(b.tolist()) for b in bags]
+    holders = Counter(t for c in counts for t in c)
+
+    def weight(t, d):
+        idf = math.log1p((n - holders[t] + 0.5) / (holders[t] + 0.5))
+        k1, b = lexical_packing.K1, lexical_packing.B
+        return round(idf * counts[d][t] * (k1 + 1) / (counts[d][t] + k1 * (1 - b + b * len(bags[d]) / mean)) / lexical_packing.STEP)
+
+    def likeness(q, d):
+        return sum(weight(t, d) for t in counts[q] if holders[t] > 1 and t in counts[d])
+
+    out = [[(d, s, window)] for d in range(n) for s in range(0, lengths[d] - lengths[d] % window, window)]
+    left = {d: lengths[d] % window for d in range(n) if lengths[d] % window}
+    seed = None
+    while left:
+        seed = min(left) if seed is None else seed
+        now, room = [(seed, lengths[seed] - left[seed], left[seed])], window - left[seed]
+        order = sorted(((-likeness(seed, d), d) for d in left if d != seed))
+        alike, others = [d for x, d in order if x], sorted(d for x, d in order if not x)
+        del left[seed]
+        seed = None
+        for d in alike + others:
+            if not room:
+                break
+            take = min(room, left[d])
+            now.append((d, lengths[d] - left[d], take))
+            room, left[d] = room - take, left[d] - take
+            if left[d]:
+                seed = d
+            else:
+                del left[d]
+        out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["short", "long", "alike"])
+def test_windows_equal_brute_force_over_whole_documents(kind):
+    rng = np.random.default_rng(11)
+    window = 32
+    for trial in range(25):
+        sizes = {"short": (1, 40), "long": (1, 200), "alike": (60, 70)}[kind]
+        topics = [rng.choice(400, 60) for _ in range(6)]
+        bags = [rng.choice(topics[rng.integers(6)] if kind != "alike" else topics[0], rng.integers(*sizes)) for _ in range(45)]
+        bags[3], bags[9] = rng.choice(topics[0], window), rng.choice(topics[0], 2 * window)  # nothing of these is left to pack
+        bags[20] = bags[5]
+        lengths = [len(b) for b in bags]
+        found = lexical_packing.pack_shard(lengths, bags, window)
+        wanted = brute_windows(lengths, bags, window)
+        if sum(n for _, _, n in wanted[-1]) < window:
+            wanted[-1:] = lexical_packing._powers(wanted[-1])
+        assert found == wanted
+
+
+def test_likeness_is_that_of_whole_documents():
+    """Documents whose last ids have nothing in common are neighbours by what comes before."""
+    first, second = np.arange(100, 132), np.arange(200, 232)
+    bags = [np.append(first, [1, 2]), np.append(second, [1, 3]), np.append(second, [4, 5]), np.append(first, [6, 7])]
+    windows = lexical_packing.pack_shard([34] * 4, bags, 32)
+    assert [d for d, _, _ in windows[4]][:2] == [0, 3]
