@@ -1,10 +1,9 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences, with DataFrame functions only.
+"""Document fingerprints: a Merkle tree over sections, paragraphs, sentences and pieces, with DataFrame functions only.
 
-Sections end at blank lines, paragraphs at line ends, leaves at sentence ends. A node's hash is the SHA-256 of its children's hashes, so
-equal roots mean equal texts, and where two trees differ the differing branches say which sections and paragraphs were edited.
-
-Below the sentences lies one more level: a sentence longer than ``PIECE_CHARS`` is cut into pieces at places that its own words choose, so
-that long texts without sentence ends can be compared and located too. Roots and leaves do not depend on it.
+Sections end at blank lines, paragraphs at line ends, sentences at a full stop and a space. A sentence longer than ``PIECE_CHARS`` is cut into
+pieces at places that its own words choose, any other is one piece, so that long texts without sentence ends can be compared and located too.
+The pieces are the leaves. A node's hash is the SHA-256 of its children's hashes: equal roots mean equal texts, and where two trees
+differ the differing branches say which sections, paragraphs and pieces were edited.
 """
 
 from __future__ import annotations
@@ -21,60 +20,63 @@ PIECE_WORDS = 8
 PIECE_TOKEN = r"(?s)[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]]{1,32}[^\p{L}\p{N}]?|."
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 100_000
+#: a range with so many times the rows of an even one is cut again
+UNEVEN = 8
+
+
+def _escaped(text: Column) -> Column:
+    """The text without the sign 0, which marks cuts. Different texts stay different."""
+    return F.replace(F.replace(text, F.lit("\1"), F.lit("\1a")), F.lit("\0"), F.lit("\1b"))
+
+
+def _cut(sentence: Column) -> Column:
+    """The pieces of an escaped sentence. A word whose hash fits ends a piece; where none fits for long, the piece ends at its full length."""
+    words = F.regexp_extract_all(sentence, F.lit(PIECE_TOKEN), F.lit(0))
+    marked = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PIECE_WORDS)) == 0, F.concat(w, F.lit("\0"))).otherwise(w))
+    bounded = F.transform(F.split(F.array_join(marked, ""), "\0"), lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)))
+    return F.when(F.length(sentence) > PIECE_CHARS, F.flatten(bounded)).otherwise(F.array(sentence))
 
 
 def tree(text: Column) -> Column:
-    """Leaf hashes as an array of sections of paragraphs of leaves. Null counts as empty: one leaf."""
-    leaves = lambda p: F.transform(F.split(p, r"\. "), lambda q: F.sha2(q, 256))
-    paragraphs = lambda s: F.transform(F.split(s, "\n"), leaves)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), paragraphs)
+    """Piece hashes as an array of sections of paragraphs of sentences of pieces. Null counts as empty: one piece."""
+    pieces_of = lambda q: F.transform(_cut(q), lambda x: F.sha2(x, 256))
+    sentences = lambda p: F.transform(F.split(p, r"\. "), pieces_of)
+    paragraphs = lambda s: F.transform(F.split(s, "\n"), sentences)
+    return F.transform(F.split(_escaped(F.coalesce(text, F.lit(""))), "\n\n"), paragraphs)
 
 
 def _above(hashes: Column) -> Column:
     return F.sha2(F.array_join(hashes, ""), 256)
 
 
-def fingerprint(nodes: Column) -> Column:
-    """Root, then the short leaf hashes: sections apart by ``/``, paragraphs by ``,``, leaves side by side."""
-    root = _above(F.transform(nodes, lambda s: _above(F.transform(s, _above))))
-    short = F.array_join(
-        F.transform(nodes, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda q: F.left(q, F.lit(LEAF_HEX))), "")), ",")), "/"
-    )
-    return F.concat(root, F.lit(":"), short)
-
-
-def leaves(nodes: Column) -> Column:
-    """Distinct short leaf hashes."""
-    return F.array_distinct(F.transform(F.flatten(F.flatten(nodes)), lambda q: F.left(q, F.lit(LEAF_HEX))))
+def _paragraph(sentences: Column) -> Column:
+    return _above(F.transform(sentences, _above))
 
 
-def _cut(sentence: Column) -> Column:
-    """The pieces of a sentence. A word whose hash fits ends a piece; where none fits for long, the piece ends at its full length."""
-    words = F.regexp_extract_all(sentence, F.lit(PIECE_TOKEN), F.lit(0))
-    marked = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(PIECE_WORDS)) == 0, F.concat(w, F.lit("\0"))).otherwise(w))
-    bounded = F.transform(F.split(F.array_join(marked, ""), "\0"), lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0)))
-    return F.when(F.length(sentence) > PIECE_CHARS, F.flatten(bounded)).otherwise(F.array(sentence))
+def _short(piece: Column) -> Column:
+    return F.left(piece, F.lit(LEAF_HEX))
 
 
-def piece_tree(text: Column) -> Column:
-    """Short hashes of the pieces as an array of sections of paragraphs of leaves of pieces, shaped like :func:`tree` down to the leaves."""
-    pieces = lambda q: F.transform(_cut(q), lambda x: F.left(F.sha2(x, 256), F.lit(LEAF_HEX)))
-    leaves_of = lambda p: F.transform(F.split(p, r"\. "), pieces)
-    paragraphs = lambda s: F.transform(F.split(s, "\n"), leaves_of)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), paragraphs)
+def fingerprint(nodes: Column) -> Column:
+    """Root, then the short piece hashes: sections apart by ``/``, paragraphs by ``,``, sentences by ``.``, pieces side by side."""
+    root = _above(F.transform(nodes, lambda s: _above(F.transform(s, _paragraph))))
+    sentence = lambda q: F.array_join(F.transform(q, _short), "")
+    paragraph = lambda p: F.array_join(F.transform(p, sentence), ".")
+    short = F.array_join(F.transform(nodes, lambda s: F.array_join(F.transform(s, paragraph), ",")), "/")
+    return F.concat(root, F.lit(":"), short)
 
 
 def pieces(nodes: Column) -> Column:
-    """Distinct short hashes of a :func:`piece_tree`."""
-    return F.array_distinct(F.flatten(F.flatten(F.flatten(nodes))))
+    """Distinct short piece hashes."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(F.flatten(nodes))), _short))
 
 
 def edited_pieces(own: Column, other: Column) -> Column:
-    """Indexes (section, paragraph, leaf, piece) of pieces of the tree ``own`` that the tree ``other`` does not have."""
-    known = pieces(other)
+    """Indexes (section, paragraph, sentence, piece) of pieces of the tree ``own`` that the tree ``other`` does not have."""
+    known = F.array_distinct(F.flatten(F.flatten(F.flatten(other))))
     found = F.transform(own, lambda s, i: F.flatten(F.transform(s, lambda p, k: F.flatten(F.transform(p, lambda q, m: F.filter(
         F.transform(q, lambda x, n: F.when(~F.array_contains(known, x), F.struct(
-            i.alias("section"), k.alias("paragraph"), m.alias("leaf"), n.alias("piece"),
+            i.alias("section"), k.alias("paragraph"), m.alias("sentence"), n.alias("piece"),
         ))),
         lambda x: x.isNotNull(),
     ))))))
@@ -82,24 +84,24 @@ def edited_pieces(own: Column, other: Column) -> Column:
 
 
 def likeness(own: Column, other: Column) -> Column:
-    """Share of distinct leaves that two trees have in common, from their :func:`leaves`."""
+    """Share of distinct pieces that two trees have in common, from their :func:`pieces`."""
     common = F.size(F.array_intersect(own, other))
     return common / (F.size(own) + F.size(other) - common)
 
 
 def edited_branches(own: Column, other: Column) -> Column:
     """Indexes (section, paragraph) of paragraphs of ``own`` whose hash the other tree does not have."""
-    known = F.flatten(F.transform(other, lambda s: F.transform(s, _above)))
+    known = F.flatten(F.transform(other, lambda s: F.transform(s, _paragraph)))
     return F.flatten(
         F.transform(own, lambda s, i: F.filter(
-            F.transform(s, lambda p, k: F.when(~F.array_contains(known, _above(p)), F.struct(i.alias("section"), k.alias("paragraph")))),
+            F.transform(s, lambda p, k: F.when(~F.array_contains(known, _paragraph(p)), F.struct(i.alias("section"), k.alias("paragraph")))),
             lambda x: x.isNotNull(),
         ))
     )
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row the id, the code points, the root and leaves as one string, and the tree itself. Null text is empty."""
+    """Per input row the id, the code points, the root and pieces as one string, and the tree itself. Null text is empty."""
     picked = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text_in"))
     return picked.select(f"`{id_col}`", F.length("text_in").cast("long").alias("n_chars"), tree(F.col("text_in")).alias("tree")).select(
         f"`{id_col}`", "n_chars", fingerprint(F.col("tree")).alias("fingerprint"), "tree"
@@ -109,18 +111,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, text_in and next_text: the text of the next row by ascending id (ties by text, nulls first), cyclic.
 
-    Rows go to ranges of ids and are ordered inside their range; the first row of a range is sent to the range before it as well.
-    The ranges' first ids are at most ``MAX_BUCKETS`` rows, the only thing that is broadcast.
+    Rows go to ranges of ids taken from the data and are ordered inside their range; the first row of a range is sent to the range before it
+    as well. The ranges' first ids, a few times ``MAX_BUCKETS`` rows at most, are what is broadcast. Rows of one and the same id
+    (also null) share a range, since only their texts order them.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text_in"))
-    n, low, high = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
-    buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
-    if low is None:
-        low, high = 0, 0
-    width = (high - low) // buckets + 1
-    placed = rows.withColumn("bucket", F.coalesce(F.floor((F.col("key").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1)))
+    placed = _in_ranges(rows)
     firsts = placed.groupBy("bucket").agg(F.min("key").alias("first_key"))
-    # at most MAX_BUCKETS + 1 rows, in one order
+    # few rows, in one order
     order = F.row_number().over(_window(None, "bucket"))
     ordered = firsts.withColumn("place", order)
     before = ordered.select((F.col("place") + 1).alias("place"), F.col("bucket").alias("before"))
@@ -135,6 +133,35 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return sent.withColumn("next_text", following).filter("guest = 0").select(F.col("key").alias(id_col), "text_in", "next_text")
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """Adds ``bucket``: ranges of ``key`` in ascending order, each with few rows unless they have one id.
+
+    The span of ids is cut evenly; a range that is still too full is cut again over the span of its own ids, until none is, so outlying ids
+    cost one more pass over the ids and no uneven task. A bucket is the path of its cuts. Only full ranges reach the driver.
+    """
+    n, low, high = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
+    per_bucket = max(ROWS_PER_BUCKET, -(-n // MAX_BUCKETS))
+    place = lambda start, width: F.floor((F.col("key").cast("decimal(20,0)") - start) / width).cast("long")
+    cut = lambda count, first, last: (last - first) // max(1, count // per_bucket) + 1
+    if low is None:
+        return rows.withColumn("bucket", F.array(F.lit(-1).cast("long")))
+    placed = rows.withColumn("bucket", F.array(F.coalesce(place(F.lit(low), F.lit(cut(n, low, high))), F.lit(-1).cast("long"))))
+    depth = 1
+    while True:
+        sizes = placed.filter(F.size("bucket") == depth).groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        full = sizes.filter(f"n > {UNEVEN * per_bucket} and low < high").collect()
+        if not full:
+            return placed
+        again = rows.sparkSession.createDataFrame(
+            [(r.bucket, r.low, cut(r.n, r.low, r.high)) for r in full], "bucket array<bigint>, start bigint, width bigint"
+        )
+        deeper = F.concat("bucket", F.array(place(F.col("start"), F.col("width"))))
+        placed = placed.join(F.broadcast(again), "bucket", "left").select(
+            "key", "text_in", F.when(F.col("start").isNull(), F.col("bucket")).otherwise(deeper).alias("bucket")
+        )
+        depth += 1
+
+
 def _window(by: str | None, *order: str):
     from pyspark.sql import Window
 
@@ -145,7 +172,7 @@ def _window(by: str | None, *order: str):
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text, the text with its last half replaced from the next document's start, and compare.
 
-    ``near_edited`` and ``near_next`` count leaves, ``near_edited_pieces`` and ``near_next_pieces`` the pieces below them.
+    ``near_edited`` and ``near_next`` are shares of common pieces.
     One row per input row. Null texts are empty (0 code points, an edited text that is empty too). Repeated rows and ids are rows of their
     own; ties by text. A single row is its own next. Other columns are not read; an empty table gives an empty table.
     """
@@ -155,16 +182,12 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     trees = rows.withColumn("edited", edited).select(
         id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text_in")).alias("own"),
         tree(F.col("edited")).alias("changed"), tree(F.col("next_text")).alias("following"),
-        *[pieces(piece_tree(F.col(c))).alias(f"{c}_pieces") for c in ("text_in", "edited", "next_text")],
     )
     marked = trees.select(
         id_col, "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        leaves(F.col("own")).alias("own"), leaves(F.col("changed")).alias("changed"), leaves(F.col("following")).alias("following"),
-        "text_in_pieces", "edited_pieces", "next_text_pieces",
+        pieces(F.col("own")).alias("own"), pieces(F.col("changed")).alias("changed"), pieces(F.col("following")).alias("following"),
     )
     return marked.select(
         id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
-        likeness(F.col("text_in_pieces"), F.col("edited_pieces")).alias("near_edited_pieces"),
-        likeness(F.col("text_in_pieces"), F.col("next_text_pieces")).alias("near_next_pieces"),
     )

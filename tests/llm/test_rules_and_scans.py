@@ -10,6 +10,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from conceptspark.llm import lang_hierarchy, license_scan, merkle, risk_rules, warc_zstd
@@ -197,12 +199,30 @@ def test_archive_has_a_leading_dictionary_and_is_validated():
             warc_zstd.parse_record(broken)
 
 
+PIECE_TOKEN = regex.compile(
+    r"(?V1s)[[\p{L}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]]{1,32}[^\p{L}\p{N}]?|."
+)
+
+
+def brute_pieces(sentence):
+    if len(sentence) <= merkle.PIECE_CHARS:
+        return [sentence]
+    runs, now = [], ""
+    for word in PIECE_TOKEN.findall(sentence):
+        now += word
+        if xxhash.xxh64_intdigest(word.encode(), seed=42) % merkle.PIECE_WORDS == 0:
+            runs.append(now)
+            now = ""
+    return [r[k : k + merkle.PIECE_CHARS] for r in [*runs, now] for k in range(0, len(r), merkle.PIECE_CHARS)]
+
+
 def brute_fingerprint(text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    nodes = [[[sha(q) for q in p.split(". ")] for p in s.split("\n")] for s in text.split("\n\n")]
-    root = sha("".join(sha("".join(sha("".join(p)) for p in s)) for s in nodes))
-    leaves = {q[:8] for s in nodes for p in s for q in p}
-    return root + ":" + "/".join(",".join("".join(q[:8] for q in p) for p in s) for s in nodes), leaves
+    text = text.replace("\1", "\1a").replace("\0", "\1b")
+    nodes = [[[[sha(x) for x in brute_pieces(q)] for q in p.split(". ")] for p in s.split("\n")] for s in text.split("\n\n")]
+    above = lambda x: x if isinstance(x, str) else sha("".join(map(above, x)))
+    short = "/".join(",".join(".".join("".join(x[:8] for x in q) for q in p) for p in s) for s in nodes)
+    return above(nodes) + ":" + short, {x[:8] for s in nodes for p in s for q in p for x in q}
 
 
 def test_fingerprints(spark):
@@ -238,18 +258,36 @@ def test_long_texts_without_sentence_ends_have_pieces(spark):
     ]
     rows = [(2 * k, t) for k, t in enumerate(texts)] + [(2 * k + 1, f"other text {k} " + "unlike " * 500) for k in range(len(texts))]
     found = {r.doc_id: r for r in merkle.compare_edited(docs_of(spark, rows)).collect()}
-    assert all(found[2 * k].near_edited == 0 and found[2 * k].near_edited_pieces > 0 for k in range(len(texts)))
-    assert all(found[2 * k].near_next_pieces == 0 for k in range(len(texts)))
-    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", merkle._cut(F.col("t")).alias("x")).collect()
-    assert all("".join(r.x).replace("\0", "") == r.t.replace("\0", "") and max(map(len, r.x)) <= merkle.PIECE_CHARS for r in cut)
+    assert all(found[2 * k].near_edited > 0 and found[2 * k].near_next == 0 for k in range(len(texts)))
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", merkle._cut(merkle._escaped(F.col("t"))).alias("x")).collect()
+    assert all("".join(r.x).replace("\1b", "\0") == r.t and max(map(len, r.x)) <= merkle.PIECE_CHARS for r in cut)
+    assert [r.x for r in cut] == [brute_pieces(r.t.replace("\0", "\1b")) for r in cut]
     # an edit shows in few pieces, and inserted words do not move the cuts after them
     own = texts[0]
     pair = spark.createDataFrame([(own[:900] + "inserted words " + own[900:], own)], "own string, other string")
-    trees = [merkle.piece_tree(F.col(c)) for c in ("own", "other")]
+    trees = [merkle.tree(F.col(c)) for c in ("own", "other")]
     found = pair.select(merkle.edited_pieces(*trees).alias("x"), F.size(merkle.pieces(trees[0])).alias("n")).first()
     assert 1 <= len(found.x) <= 4 and found.n > 20 and all(tuple(b)[:3] == (0, 0, 0) for b in found.x)
 
 
+def test_texts_that_differ_in_control_signs_have_different_roots(spark):
+    texts = ["a" * 200, "a" * 100 + "\0" + "a" * 100, "a" * 100 + "\1" + "a" * 100, "a" * 100 + "\1b" + "a" * 100, "a" * 100 + "\1a" + "a" * 100]
+    assert len({r.fingerprint for r in merkle.fingerprints(docs_of(spark, enumerate(texts))).collect()}) == len(texts)
+
+
+def test_next_rows_with_outlying_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    ids = [*range(30_000), 10**15, -(2**63), 2**63 - 1, *[2**40 + 7 * k for k in range(12_000)], *[None] * 40, *[77] * 50]
+    rows = [(k, f"t{rng.randrange(10**6)}") for k in ids]
+    found = merkle.with_next(docs_of(spark, rows)).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    wanted = Counter((*own, other) for own, (_, other) in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert Counter(map(tuple, found)) == wanted
+    keyed = docs_of(spark, rows).select(F.col("doc_id").alias("key"), F.col("text").alias("text_in"))
+    sizes = [r["count"] for r in merkle._in_ranges(keyed).groupBy("bucket").count().collect()]
+    assert max(sizes) <= merkle.UNEVEN * merkle.ROWS_PER_BUCKET and len(sizes) < len(rows) / 100
+
+
 def test_fingerprint_plan_is_native(spark, capsys):
     merkle.compare_edited(docs_of(spark, [(1, "a"), (2, "b")])).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
