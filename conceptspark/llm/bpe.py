@@ -22,6 +22,11 @@ from conceptspark.llm.common import long, per_text, string, tokenizer_file
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_ENTRIES = 700_000
+#: bytes that the remembered spans, and the fragments inside words, may take each, by an estimate of their size in memory
+CACHE_BYTES = 128 << 20
+ENTRY_BYTES = 200
+#: longer runs without a space or forced boundary are encoded anew each time
+LONG_SPAN = 256
 
 # fixed values: the rule that splits words, and the characters that stand for bytes in byte-level vocabularies
 WORDS = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -38,7 +43,7 @@ class FragmentCodec:
     default.
     """
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -63,7 +68,8 @@ class FragmentCodec:
         self.pairs = {t[k : k + 2] for t in inside for k in range(len(t) - 1)}
         self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.tokens])
         self.cache: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
+        self.cache_held = self.inner_bytes = 0
+        self.cache_entries, self.cache_bytes = cache_entries, cache_bytes
 
     def words(self, spans: list[str]) -> list[list[str]]:
         """The words of each span (no spaces inside), one character per byte, by the library's own rules.
@@ -101,9 +107,14 @@ class FragmentCodec:
     def _inner(self, fragment: str) -> bytes:
         ids = self.inner_ids.get(fragment)
         if ids is None:
-            if len(self.inner_ids) >= self.cache_entries:
+            ids = array("I", [t.id for t in self.inner.tokenize(fragment)]).tobytes()
+            if len(fragment) > LONG_SPAN:
+                return ids
+            self.inner_bytes += _weight(fragment, ids)
+            if len(self.inner_ids) >= self.cache_entries or self.inner_bytes > self.cache_bytes:
                 self.inner_ids.clear()
-            ids = self.inner_ids[fragment] = array("I", [t.id for t in self.inner.tokenize(fragment)]).tobytes()
+                self.inner_bytes = _weight(fragment, ids)
+            self.inner_ids[fragment] = ids
         return ids
 
     def _ends_of_words(self, fragments: list[str]) -> dict[str, bytes]:
@@ -113,8 +124,8 @@ class FragmentCodec:
         flat = ids.tobytes()
         return {f: flat[a:b] for f, a, b in zip(fragments, [0, *stops[:-1].tolist()], stops.tolist(), strict=True)}
 
-    def _learn(self, spans: list[str]) -> None:
-        """Encode new spans fragment by fragment and remember them."""
+    def _encoded(self, spans: list[str]) -> dict[str, bytes]:
+        """Encode spans fragment by fragment."""
         words = self.words(spans)
         cut = {w: f for w in {w for own in words for w in own} if len(f := self.fragments(w)) > 1}
         ends = list({cut[w][-1] if w in cut else w for own in words for w in own})
@@ -122,22 +133,28 @@ class FragmentCodec:
         for k in range(0, len(ends), 10_000):
             known |= self._ends_of_words(ends[k : k + 10_000])
         known |= {w: b"".join([*map(self._inner, f[:-1]), known[f[-1]]]) for w, f in cut.items()}
-        self.cache.update(zip(spans, [b"".join(map(known.__getitem__, own)) for own in words], strict=True))
+        return dict(zip(spans, [b"".join(map(known.__getitem__, own)) for own in words], strict=True))
 
     def _encode_plain(self, text: str) -> bytes:
         spans = text.split(" ")
         try:
             return b"".join(map(self.cache.__getitem__, spans))
         except KeyError:
-            self._make_known(set(spans))
-            return b"".join(map(self.cache.__getitem__, spans))
+            wanted = set(spans)
+            self._make_known({x for x in wanted if len(x) <= LONG_SPAN})
+            long_ones = self._encoded([x for x in wanted if len(x) > LONG_SPAN])
+            return b"".join([long_ones[x] if len(x) > LONG_SPAN else self.cache[x] for x in spans])
 
     def _make_known(self, spans: set[str]) -> None:
-        new = spans.difference(self.cache)
-        if len(self.cache) + len(new) > self.cache_entries:
-            self.cache.clear()
-            new = spans
-        self._learn(list(new))
+        """Remember spans. A full cache starts anew with these, so it never holds more than its bound and one batch."""
+        new = self._encoded(list(spans.difference(self.cache)))
+        weight = sum(map(_weight, new, new.values()))
+        if len(self.cache) + len(new) > self.cache_entries or self.cache_held + weight > self.cache_bytes:
+            old = {x: self.cache[x] for x in spans if x not in new}
+            weight += sum(map(_weight, old, old.values()))
+            self.cache, self.cache_held = old, 0
+        self.cache.update(new)
+        self.cache_held += weight
 
     def prepare(self, texts: list[str]) -> None:
         """Learn the spans of many texts in one go."""
@@ -145,7 +162,7 @@ class FragmentCodec:
         for text in texts:
             if "<|" not in text:
                 spans.update(text.split(" "))
-        self._make_known(spans)
+        self._make_known({x for x in spans if len(x) <= LONG_SPAN})
 
     def encode(self, text: str) -> array:
         parts = self.at_special.split(text) if self.at_special and "<|" in text else [text]
@@ -161,6 +178,10 @@ class FragmentCodec:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def _weight(text: str, ids: bytes) -> int:
+    return ENTRY_BYTES + 4 * len(text) + len(ids)
+
+
 def _little_endian(ids: array) -> bytes:
     import sys
 

@@ -39,6 +39,22 @@ def test_bpe_random_texts_and_full_cache():
         assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_cache_is_bounded_in_bytes():
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    codec = bpe.FragmentCodec(public_tokenizers.path(bpe.VOCABULARY), cache_bytes=200_000)
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    for k in range(60):
+        base64 = "".join(rng.choices("ABCDabcd0123+/", k=3000))
+        text = [han(5000), base64, "a" * 5000, " ".join(han(rng.randrange(1, 400)) for _ in range(20)), f"short words {k} " * 30][k % 5]
+        codec.prepare([text])
+        assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        for held in (codec.cache, codec.inner_ids):
+            assert max(map(len, held), default=0) <= bpe.LONG_SPAN
+            assert sum(map(bpe._weight, held, held.values())) <= 200_000
+        assert codec.cache_held == sum(map(bpe._weight, codec.cache, codec.cache.values()))
+
+
 def test_forced_boundaries_cut_only_where_no_token_spans():
     codec = bpe.FragmentCodec(public_tokenizers.path(bpe.VOCABULARY))
     assert codec.fragments("ing") == ["ing"]
