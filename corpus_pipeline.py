@@ -16,12 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the risk-controlled cutoffs keep. Rows without text fail the base rules."""
-    strata = risk_rules.stratified(docs)
-    measured = stored(risk_rules.measure(strata, ["doc_id", "stratum"]), "measures")
+    """Rows that the base rules and the risk-controlled cutoffs keep. Rows without text fail the base rules.
+
+    Texts are measured once: rows and measures are written together, and choosing cutoffs reads the measures only. Null ids have no label
+    and are judged like any other row; equal rows share a verdict; an empty table gives an empty table; other columns are not read.
+    """
+    measured = stored(risk_rules.measure(risk_rules.stratified(docs), [*COLUMNS, "stratum"]), "measures")
     cutoffs = risk_rules.select_cutoffs(measured, table(spark, sf_dir, "labels"))
-    judged = risk_rules.verdict(risk_rules.measure(strata, [*COLUMNS, "stratum"]), cutoffs)
-    return judged.filter("kept").select(*COLUMNS)
+    return risk_rules.verdict(measured, cutoffs).filter("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of at most 1024 ids."""
+    """Pieces of all documents in windows of at most 1024 ids: null texts are one end id, equal rows are packed each, ties go by
+    position in the input, an empty table gives no pieces."""
     return lexical_packing.pack(docs)
 
 
